@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosspark.llm import quality
+from glosspark.llm import quality, simhash, suffix
 from glosspark.llm.samples import held_out
 
 
@@ -20,5 +20,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(rows, model).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {"op1_quality": op1_quality}
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_suffix": op2_suffix, "op4_simhash": op4_simhash}
 ORACLES: dict[str, str] = {}
