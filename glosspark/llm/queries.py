@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosspark.llm import quality, simhash, suffix
+from glosspark.llm import pieces, quality, simhash, suffix
 from glosspark.llm.samples import held_out
 
 
@@ -28,5 +28,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_suffix": op2_suffix, "op4_simhash": op4_simhash}
+def tokenizer_path() -> str:
+    """Where the public byte-pair model lies; ``pieces`` takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).drop("text")
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_suffix": op2_suffix, "op4_simhash": op4_simhash, "op6_sentencepiece": op6_sentencepiece}
 ORACLES: dict[str, str] = {}
