@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosspark.llm import pieces, quality, simhash, suffix
+from glosspark.llm import flac, mixing, pieces, quality, simhash, suffix
 from glosspark.llm.samples import held_out
 
 
@@ -39,5 +39,13 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).drop("text")
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_suffix": op2_suffix, "op4_simhash": op4_simhash, "op6_sentencepiece": op6_sentencepiece}
-ORACLES: dict[str, str] = {}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_suffix": op2_suffix, "op4_simhash": op4_simhash, "op6_sentencepiece": op6_sentencepiece, "op9_mixing": op9_mixing, "op10_flac": op10_flac}
+ORACLES: dict[str, str] = {"op9_mixing": mixing.ORACLE}
