@@ -39,7 +39,7 @@ LENGTH = 400
 GRAM = 64
 TRIGGER = 8  # bytes that decide where a phrase starts
 PHRASE = 32  # mean bytes between phrase starts
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 HOT = 20_000
 
 
@@ -297,7 +297,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataF
     """``(key, spans)``: for each text (by its MD5) the spans, maybe overlapping, that repeated windows cover."""
     set_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
-    lists = text_udf(context_lists, "anchor array<bigint>, digest array<bigint>, start array<int>, windows array<int>")
+    lists = text_udf(context_lists, "anchor array<bigint>, digest array<bigint>, start array<int>, windows array<int>", 1 << 20)
     found = texts.select("key", lists("text").alias("c"))
     found = cut(found.select("key", F.explode(F.arrays_zip("c.anchor", "c.digest", "c.start", "c.windows")).alias("x")).select("key", "x.*"))
     twice = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
