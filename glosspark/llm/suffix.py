@@ -299,7 +299,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataF
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
     lists = text_udf(context_lists, "anchor array<bigint>, digest array<bigint>, start array<int>, windows array<int>", 1 << 20)
     found = texts.select("key", lists("text").alias("c"))
-    found = cut(found.select("key", F.explode(F.arrays_zip("c.anchor", "c.digest", "c.start", "c.windows")).alias("x")).select("key", "x.*"))
+    # read twice below: finding the anchors again costs less than keeping a row for each of them
+    found = found.select("key", F.explode(F.arrays_zip("c.anchor", "c.digest", "c.start", "c.windows")).alias("x")).select("key", "x.*")
     twice = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     known = cut(found.join(twice, "anchor", "left_semi").groupBy("anchor", "digest", "key", "start", "windows").agg(F.count("*").alias("n")))
     distinct = known.groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.min(F.struct("key", "start", "windows")).alias("at"))
