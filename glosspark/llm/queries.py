@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosspark.llm import flac, mixing, pieces, quality, simhash, suffix
+from glosspark.llm import flac, langid, mixing, pieces, quality, simhash, suffix, toxicity
 from glosspark.llm.samples import held_out
 
 
@@ -24,6 +24,13 @@ def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train_languages(docs)
+    rows = docs.select("doc_id", "text", held_out(F.col("doc_id"), 5, 0).alias("held_out"))
+    return langid.predict_languages(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,6 +42,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels"))
+    rows = docs.select("doc_id", "text", held_out(F.col("doc_id"), 4, 2).alias("held_out"))
+    return toxicity.score_toxicity(rows, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).drop("text")
 
@@ -47,5 +61,5 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_suffix": op2_suffix, "op4_simhash": op4_simhash, "op6_sentencepiece": op6_sentencepiece, "op9_mixing": op9_mixing, "op10_flac": op10_flac}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_suffix, op3_langid, op4_simhash, op5_toxicity, op6_sentencepiece, op9_mixing, op10_flac)}
 ORACLES: dict[str, str] = {"op9_mixing": mixing.ORACLE}
