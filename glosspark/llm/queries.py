@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosspark.llm import flac, langid, mixing, pieces, quality, rules, simhash, suffix, toxicity
+from glosspark.llm import flac, langid, lines, mixing, pieces, quality, rules, simhash, suffix, toxicity
 from glosspark.llm.samples import held_out
 
 
@@ -58,6 +58,10 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -66,5 +70,5 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_suffix, op3_langid, op4_simhash, op5_toxicity, op6_sentencepiece, op7_rules, op9_mixing, op10_flac)}
-ORACLES: dict[str, str] = {"op7_rules": rules.oracle(), "op9_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_suffix, op3_langid, op4_simhash, op5_toxicity, op6_sentencepiece, op7_rules, op8_lines, op9_mixing, op10_flac)}
+ORACLES: dict[str, str] = {"op7_rules": rules.oracle(), "op8_lines": lines.ORACLE, "op9_mixing": mixing.ORACLE}
