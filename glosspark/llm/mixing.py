@@ -27,6 +27,8 @@ from glosspark.llm.components import cut
 WEIGHTS = (5, 2, 1)
 BUCKETS = 4096
 LOOK_AHEAD = 128
+SMALL = 5000  # sources; their rows hold some hundred bytes and at most LOOK_AHEAD + 1 keys each
+SALTS = 64
 WORD = r"[^\x20\x09-\x0D]+"
 KEYS = ("size", "source_size", "target", "copies", "taken")
 
@@ -58,13 +60,22 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return out.withColumn("bucket", F.floor(F.lit(float(BUCKETS)) * (F.col("q") / (1 + F.col("q")))))
 
 
+def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Join rows with the few numbers of their source: broadcast up to ``SMALL`` sources, else salted, so that a hot source is dealt out."""
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    if sources.count() <= SMALL:
+        return rows.join(F.broadcast(sources), same)
+    salted = sources.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_s", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("_s") == F.col("_salt"))).drop("_s", "_salt")
+
+
 def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """One row per source with all that decides its documents, from ``rows(source, size, key)``."""
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     sources = sources.withColumn("e", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     sources = sources.withColumn("whole", F.floor("e")).withColumn("p", F.col("e") - F.col("whole")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     sources = cut(sources.withColumnRenamed("source", "_source"))
-    ranked = _ranked(rows.join(sources.filter("p > 0").select("_source", "p", "rest"), F.col("source").eqNullSafe(F.col("_source")))).drop("source")
+    ranked = _ranked(_with_source(rows, sources.filter("p > 0").select("_source", "p", "rest"))).drop("source")
     sums = ranked.groupBy("_source", "bucket").agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
     sums = sums.withColumn("upto", F.expr("sum(n) OVER (PARTITION BY _source ORDER BY bucket)"))
     edge = sums.filter("upto > rest").groupBy("_source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("edge")).select(F.col("_source").alias("_s"), F.col("edge.bucket").alias("edge"), F.col("edge.before").alias("before"))
@@ -91,7 +102,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     rows = cut(docs.select("source", word_count(F.col("text")).alias("size"), rank_key(seed).alias("key")))
     chosen = plan(rows, weights, share, cap)
     keyed = docs.drop(*KEYS).withColumn("size", word_count(F.col("text"))).withColumn("key", rank_key(seed))
-    out = _ranked(keyed.join(chosen, F.col("source").eqNullSafe(F.col("_source"))))
+    out = _ranked(_with_source(keyed, chosen))
     more = (F.col("p") > 0) & (F.col("edge").isNull() | (F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & F.col("last").isNotNull() & (F.struct("q", "key") <= F.col("last"))) | F.array_contains("fill", F.col("key")))
     out = out.withColumn("copies", (F.col("whole") + F.coalesce(more, F.lit(False)).cast("int")).cast("bigint")).withColumn("taken", F.col("copies") * F.col("size"))
     return out.select(*(c for c in docs.columns if c not in KEYS), *KEYS)
