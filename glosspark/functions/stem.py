@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glosspark.session import ship
+
 # fixed values of the published algorithm
 VOWELS = "aeiouy"
 DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
@@ -105,6 +107,7 @@ def stem(word: str) -> str:
 
 def stems(x: Column) -> Column:
     """Stems of a token column."""
+    ship()
 
     def run(tokens: pa.Array) -> pa.Array:
         known: dict[str | None, str | None] = {None: None}

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosspark.functions.stem import stems
+from glosspark.session import ship
 
 # fixed values: glosses of closed-class words
 GRAM_WORDS = {
@@ -94,6 +95,7 @@ def refined(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Och & Ney's refined combination; the open pairs are tried in the order (src, tgt), which makes it a function of its input."""
     import pandas as pd
 
+    ship(a.sparkSession)
     both = a.select(*keys, "src", "tgt").distinct().withColumn("a", F.lit(1)).withColumn("b", F.lit(0))
     both = both.union(b.select(*keys, "src", "tgt").distinct().withColumn("a", F.lit(0)).withColumn("b", F.lit(1)))
     both = both.groupBy(*keys, "src", "tgt").agg(F.min("a").alias("x"), F.max("a").alias("a"), F.max("b").alias("b"))

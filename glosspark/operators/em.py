@@ -11,6 +11,8 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glosspark.session import ship
+
 NULL = "NULL"
 
 
@@ -79,6 +81,7 @@ def hmm(bitext: DataFrame, table: DataFrame, iterations: int = 5, width: int = 8
 
 def _sentences(bitext: DataFrame, table: DataFrame) -> DataFrame:
     """One row per pair: both token lists and the table's entries for them."""
+    ship(bitext.sparkSession)
     tokens = bitext.groupBy("pair").agg(*(F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct("idx", "tok")))), lambda x: x["tok"]).alias(s) for s in "ef"))
     entries = sentence_pairs(bitext).join(table, ["e", "f"]).groupBy("pair").agg(F.collect_list(F.struct("e", "f", "t")).alias("entries"))
     return tokens.join(entries, "pair")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosspark.functions import text as T
+from glosspark.session import ship
 
 MAIN = ("L", "G", "T")
 
@@ -87,6 +88,7 @@ def _overlay(lines: list[str]) -> str:
 
 def merge_lines(lines: Column) -> Column:
     """An array of lines overlaid into one."""
+    ship()
 
     def run(rows: pa.Array) -> pa.Array:
         return pa.array([None if x is None else _overlay(x) for x in rows.to_pylist()], pa.string())
