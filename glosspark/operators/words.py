@@ -10,20 +10,30 @@ from glosspark.functions import text as T
 TIER_OF = {"L": "w", "G": "gw", "T": "tw"}
 
 
+def _placed(rows: DataFrame, keys: list[str], text: str, pattern, keep: list[str]) -> DataFrame:
+    """Explode ``text`` into tokens with offsets: running sums of token and gap lengths, linear in the text."""
+    parts = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(0)).alias("tok"), F.split(text, pattern, F.lit(-1)).alias("gap"))
+    rows = rows.select(*keys, *keep, F.posexplode(parts).alias("i", "t")).filter("t.tok IS NOT NULL")
+    rows = rows.select(*keys, *keep, (F.col("i") + 1).alias("idx"), F.col("t.tok").alias("tok"), F.col("t.gap").alias("gap"))
+    stop = F.expr(f"cast(sum(length(gap) + length(tok)) OVER (PARTITION BY {', '.join(keys)} ORDER BY idx) AS int)")
+    return rows.withColumn("stop", stop).withColumn("start", F.col("stop") - F.length("tok")).drop("gap")
+
+
 def words(normal: DataFrame) -> DataFrame:
     """(igt_id, tier, idx, tok, start, stop): language and gloss lines at white space, translations as sentences."""
-    tokens = F.when(F.col("tag") == "T", T.sentence_tokens("text")).otherwise(T.words("text"))
     tier = F.create_map(*(F.lit(x) for kv in TIER_OF.items() for x in kv))[F.col("tag")]
-    rows = normal.select("igt_id", tier.alias("tier"), "text", tokens.alias("_toks"))
-    return rows.select("igt_id", "tier", F.explode(T.with_offsets("text", F.col("_toks"))).alias("t")).select("igt_id", "tier", F.col("t.idx").alias("idx"), F.col("t.tok").alias("tok"), F.col("t.start").alias("start"), F.col("t.stop").alias("stop"))
+    rows = normal.select("igt_id", tier.alias("tier"), "text", F.when(F.col("tag") == "T", T.SENTENCE).otherwise(T.NOT_WS).alias("_p"))
+    parts = [_placed(rows.filter(F.col("_p") == p), ["igt_id", "tier"], "text", F.lit(p), []) for p in (T.SENTENCE, T.NOT_WS)]
+    return parts[0].unionByName(parts[1]).select("igt_id", "tier", "idx", "tok", "start", "stop")
 
 
 def morphs(word_table: DataFrame) -> DataFrame:
     """Sub-words of language and gloss words, numbered through the instance, with the word they come from and offsets in the line."""
-    rows = word_table.filter("tier IN ('w', 'gw')").withColumn("_m", T.morphs("tok"))
-    rows = rows.select("igt_id", F.when(F.col("tier") == "w", "m").otherwise("g").alias("tier"), F.col("idx").alias("word_idx"), F.col("start").alias("_s"), F.explode(T.with_offsets("tok", F.col("_m"))).alias("m"), F.size("_m").alias("_n"))
-    idx = F.expr("row_number() OVER (PARTITION BY igt_id, tier ORDER BY word_idx, m.idx)")
-    return rows.select("igt_id", "tier", idx.alias("idx"), "word_idx", F.col("m.tok").alias("tok"), (F.col("_s") + F.col("m.start")).alias("start"), (F.col("_s") + F.col("m.stop")).alias("stop"), (F.col("_n") == 1).alias("whole"), F.col("m.start").alias("in_word_start"), F.col("m.stop").alias("in_word_stop"))
+    rows = word_table.filter("tier IN ('w', 'gw')").select("igt_id", "tier", F.col("idx").alias("word_idx"), F.col("start").alias("_s"), F.col("tok").alias("_w"), F.size(T.morphs("tok")).alias("_n"))
+    m = _placed(rows, ["igt_id", "tier", "word_idx"], "_w", F.lit(T.MORPH), ["_s", "_n"])
+    idx = F.expr("row_number() OVER (PARTITION BY igt_id, tier ORDER BY word_idx, idx)")
+    m = m.select("igt_id", F.when(F.col("tier") == "w", "m").otherwise("g").alias("tier"), idx.alias("_idx"), "word_idx", "tok", (F.col("_s") + F.col("start")).alias("_a"), (F.col("_s") + F.col("stop")).alias("_b"), (F.col("_n") == 1).alias("whole"), F.col("start").alias("in_word_start"), F.col("stop").alias("in_word_stop"))
+    return m.withColumnsRenamed({"_idx": "idx", "_a": "start", "_b": "stop"})
 
 
 def morph_references(morph_table: DataFrame, prefix: str) -> DataFrame:

@@ -25,7 +25,7 @@ def parse(texts: DataFrame, column: str = "value") -> DataFrame:
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """Instances of all files below a path."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("corpus"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("corpus"), "value")
     return parse(files)
 
 

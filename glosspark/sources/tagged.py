@@ -13,10 +13,10 @@ from glosspark.functions import text as T
 
 def whole(spark: SparkSession, path: str, encoding: str = "UTF-8", glob: str | None = None) -> DataFrame:
     """(file, value) of every file under a path."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     reader = reader.option("pathGlobFilter", glob) if glob else reader
     if encoding.upper() == "UTF-8":
-        return reader.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+        return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     raw = raw.option("pathGlobFilter", glob) if glob else raw
     return raw.load(path).select(F.col("path").alias("file"), F.decode("content", encoding).alias("value"))
@@ -24,7 +24,7 @@ def whole(spark: SparkSession, path: str, encoding: str = "UTF-8", glob: str | N
 
 def blocks(files: DataFrame, pattern: str = r"\r?\n[ \t]*\r?\n\s*") -> DataFrame:
     """(file, block, text): parts between blank lines, in order."""
-    parts = files.select("file", F.posexplode(F.split(F.trim("value"), pattern)).alias("block", "text"))
+    parts = files.select("file", F.posexplode(F.split(F.regexp_replace("value", r"^(?:[ \t]*\r?\n)+|\s+$", ""), pattern)).alias("block", "text"))
     return parts.filter(F.trim("text") != "")
 
 

@@ -11,7 +11,7 @@ from glosspark.sources.tagged import parse_records
 
 def record_stream(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
     """New record files under ``path``, parsed to line rows; at most ``files`` files a batch."""
-    texts = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files).text(path)
+    texts = spark.readStream.option("maxFilesPerTrigger", files).text(path, wholetext=True)
     return parse_records(texts)
 
 
