@@ -41,6 +41,7 @@ TRIGGER = 8  # bytes that decide where a phrase starts
 PHRASE = 32  # mean bytes between phrase starts
 SHARD_BYTES = 3 << 20
 HOT = 20_000
+LIST = 20_000  # entries of a context's longest list of places, about
 
 
 def window_minima(v: np.ndarray, width: int) -> np.ndarray:
@@ -302,9 +303,13 @@ def repeated_spans(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataF
     # read twice below: finding the anchors again costs less than keeping a row for each of them
     found = found.select("key", F.explode(F.arrays_zip("c.anchor", "c.digest", "c.start", "c.windows")).alias("x")).select("key", "x.*")
     twice = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    known = cut(found.join(twice, "anchor", "left_semi").groupBy("anchor", "digest", "key", "start", "windows").agg(F.count("*").alias("n")))
-    distinct = known.groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.min(F.struct("key", "start", "windows")).alias("at"))
-    whole = known.join(distinct.filter("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("key", F.col("start").alias("s"), (F.col("start") + F.col("windows") + (LENGTH - 1)).alias("e"))
+    # occurrences are gathered in salted lists before anything is joined: a context in a third of all texts gives LIST entries a row
+    salts = max(16, docs.count() // LIST)
+    near = F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int").alias("salt")
+    known = cut(found.join(twice, "anchor", "left_semi").groupBy("anchor", "digest", near).agg(F.count("*").alias("n"), F.collect_set(F.struct("key", "start", "windows")).alias("places")))
+    distinct = known.groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.min(F.array_min("places")).alias("at"))
+    whole = known.select("anchor", "digest", "places").join(distinct.filter("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select(F.explode("places").alias("p"))
+    whole = whole.select("p.key", F.col("p.start").alias("s"), (F.col("p.start") + F.col("p.windows") + (LENGTH - 1)).alias("e"))
     mixed = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max((F.col("n") == 1).cast("int")).alias("open")).filter("kinds > 1 AND open = 1").select("anchor", "kinds")
     asked = distinct.join(mixed, "anchor").select("anchor", F.col("at.key").alias("key"), F.col("at.start").alias("start"), F.col("at.windows").alias("windows"), (F.col("n") == 1).alias("once"), (F.col("kinds") > hot).alias("hot"))
     asked = asked.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "windows", "once", "hot")).alias("asked"))
