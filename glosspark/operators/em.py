@@ -6,23 +6,14 @@ lineage in the shared checkpoint folder.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosspark.session import ship
+from glosspark.session import cut, ship
 
 NULL = "NULL"
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
-    return df.checkpoint()
-
-
 def sentence_pairs(bitext: DataFrame) -> DataFrame:
     """(pair, e, f, n): how often f may come from e in a pair, NULL included."""
     e = bitext.filter("side = 'e'").select("pair", F.col("tok").alias("e"))
@@ -33,14 +24,14 @@ def sentence_pairs(bitext: DataFrame) -> DataFrame:
 
 def ibm1(bitext: DataFrame, iterations: int = 5) -> DataFrame:
     """(e, f, t): IBM Model 1 translation probabilities from a uniform start."""
-    cells = _cut(sentence_pairs(bitext))
+    cells = cut(sentence_pairs(bitext))
     table = cells.select("e", "f").distinct().withColumn("t", F.lit(1.0))
     for _ in range(iterations):
         seen = cells.join(table, ["e", "f"])
         norm = seen.groupBy("pair", "f").agg(F.sum(F.col("ne") * F.col("t")).alias("z"))
         share = seen.join(norm, ["pair", "f"]).groupBy("e", "f").agg(F.sum(F.col("nf") * F.col("ne") * F.col("t") / F.col("z")).alias("c"))
         total = share.groupBy("e").agg(F.sum("c").alias("s"))
-        table = _cut(share.join(total, "e").select("e", "f", (F.col("c") / F.col("s")).alias("t")))
+        table = cut(share.join(total, "e").select("e", "f", (F.col("c") / F.col("s")).alias("t")))
     return table
 
 
@@ -70,9 +61,9 @@ def hmm(bitext: DataFrame, table: DataFrame, iterations: int = 5, width: int = 8
     jumps = [1.0 / (2 * width + 1)] * (2 * width + 1)
     for _ in range(iterations):
         cells = _expected(bitext, table, jumps, width, p_null)
-        cells = _cut(cells)
+        cells = cut(cells)
         share = cells.filter("jump IS NULL").groupBy("e", "f").agg(F.sum("c").alias("c"))
-        table = _cut(share.join(share.groupBy("e").agg(F.sum("c").alias("s")), "e").select("e", "f", (F.col("c") / F.col("s")).alias("t")))
+        table = cut(share.join(share.groupBy("e").agg(F.sum("c").alias("s")), "e").select("e", "f", (F.col("c") / F.col("s")).alias("t")))
         sums = {r.jump: r.c for r in cells.filter("jump IS NOT NULL").groupBy("jump").agg(F.sum("c").alias("c")).collect()}
         total = sum(sums.values()) or 1.0
         jumps = [max(sums.get(d, 0.0) / total, 1e-6) for d in range(-width, width + 1)]
@@ -177,13 +168,13 @@ def diagonal(bitext: DataFrame, iterations: int = 5, tension: float = 4.0, p_nul
     cells = e.join(f, "pair").join(size, "pair").withColumn("w", F.exp(-tension * F.abs(F.col("i") / F.col("n") - F.col("j") / F.col("m"))))
     z = cells.groupBy("pair", "j").agg(F.sum("w").alias("zw"))
     cells = cells.join(z, ["pair", "j"]).withColumn("w", (1 - p_null) * F.col("w") / F.col("zw")).select("pair", "i", "e", "j", "f", "w")
-    cells = _cut(cells.union(f.select("pair", F.lit(0).alias("i"), F.lit(NULL).alias("e"), "j", "f", F.lit(p_null).alias("w"))))
+    cells = cut(cells.union(f.select("pair", F.lit(0).alias("i"), F.lit(NULL).alias("e"), "j", "f", F.lit(p_null).alias("w"))))
     table = cells.select("e", "f").distinct().withColumn("t", F.lit(1.0))
     for _ in range(iterations):
         seen = cells.join(table, ["e", "f"])
         norm = seen.groupBy("pair", "j").agg(F.sum(F.col("w") * F.col("t")).alias("z"))
         share = seen.join(norm, ["pair", "j"]).groupBy("e", "f").agg(F.sum(F.col("w") * F.col("t") / F.col("z")).alias("c"))
-        table = _cut(share.join(share.groupBy("e").agg(F.sum("c").alias("s")), "e").select("e", "f", (F.col("c") / F.col("s")).alias("t")))
+        table = cut(share.join(share.groupBy("e").agg(F.sum("c").alias("s")), "e").select("e", "f", (F.col("c") / F.col("s")).alias("t")))
     best = cells.join(table, ["e", "f"]).groupBy("pair", "j").agg(F.max_by("i", F.struct(F.col("w") * F.col("t"), -F.col("i"))).alias("src"))
     return best.select("pair", "src", F.col("j").alias("tgt")).filter("src > 0")
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosspark.session import ship
+from glosspark.session import cut, ship
 
 
 class Node:
@@ -348,10 +348,10 @@ def productions(node_table: DataFrame) -> DataFrame:
 def depths(edges: DataFrame, keys: list[str], most: int = 64) -> DataFrame:
     """(key.., dep, depth) of every edge's shallowest way from the root 0, level by level until a level is empty."""
     e = edges.select(*keys, "dep", "head").distinct()
-    level = e.filter("head = 0").select(*keys, "dep", F.lit(1).alias("depth")).distinct()
+    level = cut(e.filter("head = 0").select(*keys, "dep", F.lit(1).alias("depth")).distinct())
     out = level
     for d in range(2, most + 1):
-        level = e.join(level.select(*keys, F.col("dep").alias("head")), [*keys, "head"]).select(*keys, "dep", F.lit(d).alias("depth")).distinct().join(out, [*keys, "dep"], "left_anti").select(*keys, "dep", "depth")
+        level = cut(e.join(level.select(*keys, F.col("dep").alias("head")), [*keys, "head"]).select(*keys, "dep", F.lit(d).alias("depth")).distinct().join(out, [*keys, "dep"], "left_anti").select(*keys, "dep", "depth"))
         if level.isEmpty():
             return out
         out = out.unionByName(level)

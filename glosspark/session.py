@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -28,3 +28,11 @@ def ship(spark: SparkSession | None = None) -> None:
         for file in sorted(top.rglob("*.py")):
             z.write(file, file.relative_to(top.parent))
     context.addPyFile(str(archive))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows without their lineage, through the folder that the cluster names; only where none is named (tests) a folder is made."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+    return df.checkpoint()

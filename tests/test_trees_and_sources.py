@@ -119,3 +119,44 @@ def test_classifier(spark):
     new = features.gram_features(features.context(spark.createDataFrame([(2, 1, "rings"), (2, 2, "cog"), (2, 3, "."), (2, 4, "")], "k int, idx int, tok string"), ["k"]), ["k"], prev_gram=False, next_gram=False)
     assert [r.label for r in features.classify(model, new).orderBy("idx").collect()] == ["V", "N", "PUNC", "UNK"]
     assert features.training_lines(feats.limit(1)).first().value.startswith("V\tgram-suffix-3-uns:1")
+
+
+def test_annotation_xml(spark, tmp_path):
+    from glosspark.sources import annotation_xml as ax
+
+    (tmp_path / "a.xaml").write_text(
+        """<r xmlns="u"><Igt><TextTier Name="_t1" TierType="L-x" Text="ab cd"/><TextTier Name="_t2" TierType="T" Text="go"/>
+        <SegTier Name="_s1" SourceTier="{x:Reference _t1}"><SegPart Name="_w1" FromChar="0" ToChar="2"/><SegPart Name="_w2" FromChar="3" ToChar="5"/></SegTier>
+        <SegTier Name="_s2" SourceTier="{x:Reference _t2}"><SegPart Name="_v1" FromChar="0" ToChar="2"/></SegTier>
+        <AlignmentTier><AlignPart Source="{x:Reference _v1}"><Reference>_w2</Reference></AlignPart></AlignmentTier>
+        <PosTagTier><TagPart Source="{x:Reference _w1}" Text="N"/></PosTagTier></Igt></r>"""
+    )
+    e = ax.load(spark, str(tmp_path / "a.xaml"))
+    assert {(r.tag, r.tok) for r in ax.words(e).collect()} == {("L", "ab"), ("L", "cd"), ("T", "go")}
+    assert [(r.src, r.tgt) for r in ax.pairs(e).collect()] == [(2, 1)]
+    assert [(r.idx, r.label) for r in ax.tags(e).collect()] == [(1, "N")]
+
+
+def test_search_and_reports(spark):
+    from glosspark.operators import search
+    from glosspark.plans import reports
+    from glosspark.plans.enrich import enrich
+
+    items = spark.createDataFrame([("i", "w1", "words", "p1[0:2]", 1), ("i", "w2", "words", "p1[3:5]", 2), ("i", "m1", "morphemes", "w1", 3)], "igt_id string, item_id string, tier_type string, segmentation string, ord int")
+    assert [r.item_id for r in search.find_all(items, search.where(segmentation="p1")).orderBy("ord").collect()] == ["w1", "w2"]
+    assert search.find_first(items, search.where(type="words"), ["ord"]).first().item_id == "w1"
+    links = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "a")], "k int, item string, target string")
+    assert search.follow(links, ["k"]).count() == 9
+    raw = spark.createDataFrame([("i", 1, "r1", "L", "Hunde bell-en"), ("i", 2, "r2", "G", "dogs bark-3PL"), ("i", 3, "r3", "T", "Dogs bark"), ("j", 1, "r1", "L+CR", "x")], "igt_id string, ord int, item_id string, tag string, text string")
+    tags = spark.createDataFrame([("i", 1, "NOUN"), ("i", 2, "VERB")], "igt_id string, idx int, label string")
+    layers = enrich(raw, tags)
+    assert {(r.idx, r.label) for r in layers["lang_tag"].collect()} == {(1, "NOUN"), (2, "VERB")}
+    assert {(r.src, r.tgt) for r in layers["gloss_morph"].collect()} == {(1, 1), (2, 2), (3, 3)}
+    stats = reports.corpus_statistics(raw, layers["token"]).first()
+    assert (stats.instances, stats.corrupt, stats.lang_tokens, stats.trans_types) == (2, 1, 3, 2)
+    assert "Hunde/NOUN bell-en/VERB" in {r.value for r in reports.tagger_corpus(layers).collect()}
+    assert reports.classifier_lines(layers["morph"].filter("tier = 'g'"), layers["gloss_tag"]).count() == 3
+    gold = layers["trans_gloss"].select("igt_id", F.col("tgt").alias("src"), F.col("src").alias("tgt"))
+    tier = lambda t: layers["token"].filter(F.col("tier") == t)
+    grid = {r.method: r.aer for r in reports.alignment_grid(tier("gw"), tier("tw"), gold, ["igt_id"], reports.ABLATION[:2]).collect()}
+    assert set(grid) <= {"exact", "stem", "gram", "all", "all_multi"} and all(0 <= v <= 1 for v in grid.values())
