@@ -6,6 +6,8 @@ their places. White space and word classes are spelled out because Java's shorth
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,10 +25,19 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bind(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` worked out once, however often ``f`` names it; keeps nested expressions linear in size."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def blank_match(x: Column, pattern: str) -> Column:
     """``x`` with every match of ``pattern`` overwritten by blanks."""
-    gaps = F.concat(F.transform(F.regexp_extract_all(x, F.lit(pattern), 0), lambda m: F.repeat(F.lit(" "), F.length(m))), F.array(F.lit("")))
-    return F.array_join(F.zip_with(F.split(x, pattern, -1), gaps, lambda a, b: F.concat(a, b)), "")
+
+    def overwrite(v: Column) -> Column:
+        gaps = F.concat(F.transform(F.regexp_extract_all(v, F.lit(pattern), F.lit(0)), lambda m: F.repeat(F.lit(" "), F.length(m))), F.array(F.lit("")))
+        return F.array_join(F.zip_with(F.split(v, pattern, -1), gaps, lambda a, b: F.concat(a, b)), "")
+
+    return bind(x, overwrite)
 
 
 def words(x: Column | str) -> Column:
@@ -162,9 +173,8 @@ def unjudged(x: Column | str) -> Column:
 
 def judgment(x: Column | str) -> Column:
     """``*`` or ``?`` at the start of the line, with ``*`` appended if the rest has one; null if there is none."""
-    x = _col(x)
-    j = F.concat(F.regexp_extract(x, _LEAD, 2), F.when(F.contains(unjudged(x), F.lit("*")), "*").otherwise(""))
-    return F.when(j != "", j)
+    mark = lambda v: F.concat(F.regexp_extract(v, _LEAD, 2), F.when(F.contains(unjudged(v), F.lit("*")), "*").otherwise(""))
+    return F.nullif(bind(_col(x), mark), F.lit(""))
 
 
 def hyphenate_infinitive(x: Column | str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosspark.functions.stem import stems
-from glosspark.session import ship
+from glosspark.session import cut, ship
 
 # fixed values: glosses of closed-class words
 GRAM_WORDS = {
@@ -180,11 +180,11 @@ def gram_matched(src: DataFrame, tgt: DataFrame, keys: list[str], aligned: DataF
 
 def heuristic(src: DataFrame, tgt: DataFrame, keys: list[str], stem: bool = True, gram: bool = True, multi: bool = False, pos: bool = False) -> DataFrame:
     """Exact, then stem, then gram-table matches on lower-cased tokens; with ``pos`` equal ``label`` of what is left over."""
-    out = matched(src, tgt, keys, multi=multi)
+    out = cut(matched(src, tgt, keys, multi=multi))  # each step reads the one before several times
     if stem:
-        out = matched(src, tgt, keys, lambda x: stems(F.lower(x)), out, multi)
+        out = cut(matched(src, tgt, keys, lambda x: stems(F.lower(x)), out, multi))
     if gram:
-        out = gram_matched(src, tgt, keys, out, multi)
+        out = cut(gram_matched(src, tgt, keys, out, multi))
     if pos:
         out = matched(src.withColumn("tok", F.col("label")), tgt.withColumn("tok", F.col("label")), keys, lambda x: x, out)
     return out

@@ -1,4 +1,7 @@
-"""The enrichment plan: raw lines to words, morphs, alignments and projected tags, as one lazy chain of DataFrames."""
+"""The enrichment plan: raw lines to words, morphs, alignments and projected tags.
+
+Layers are lazy; the token, morph and alignment tables, which many layers read, are written once to the shared checkpoint folder.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosspark.operators import align, lines, project, words
+from glosspark.session import cut
 
 KEYS = ["igt_id"]
 
@@ -18,8 +22,8 @@ def enrich(raw: DataFrame, tags: DataFrame | None = None, method: str = "heur")
     """
     clean = lines.clean_lines(raw)
     normal = lines.normal_lines(clean)
-    tokens = words.words(normal)
-    subwords = words.morphs(tokens)
+    tokens = cut(words.words(normal))
+    subwords = cut(words.morphs(tokens))
     tier = lambda t, name: t.filter(F.col("tier") == name)
     gloss_lang = align.positional(tier(tokens, "gw"), tier(tokens, "w"), KEYS)
     gaps = words.gaps(tier(subwords, "g"), normal, "G")
