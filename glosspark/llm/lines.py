@@ -86,3 +86,6 @@ k AS (SELECT *, count(*) OVER (PARTITION BY norm) AS copies, first_value(doc_id)
              first_value(start) OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST, start) AS first_start FROM u WHERE len(string_split(norm, ' ')) >= {MIN_WORDS})
 SELECT doc_id, start, (start + strlen(line))::INT AS stop, first_doc_id, first_start, copies FROM k WHERE copies > 1 AND (doc_id, start) <> (first_doc_id, first_start)
 """
+
+#: The same for every line that is not blank.
+ORACLE_ALL = ORACLE.replace(f"len(string_split(norm, ' ')) >= {MIN_WORDS}", "norm <> ''")
