@@ -371,10 +371,17 @@ def aer_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_BITEXT}, v AS (SELECT tok, row_number() OVER (ORDER BY min((conv_id, turn, idx))) + 1 AS id FROM (SELECT * FROM s WHERE idx <= 3) GROUP BY tok), u AS (SELECT tok, row_number() OVER (ORDER BY min((conv_id, turn, idx))) + 1 AS id FROM (SELECT * FROM t WHERE idx <= 3) GROUP BY tok), e AS (SELECT DISTINCT conv_id, turn, id FROM s JOIN v USING (tok) WHERE idx <= 3), f AS (SELECT DISTINCT conv_id, turn, id FROM t JOIN u USING (tok) WHERE idx <= 3) SELECT DISTINCT e.id::BIGINT AS src_id, f.id::BIGINT AS tgt_id FROM e JOIN f USING (conv_id, turn) UNION SELECT DISTINCT 0, id FROM f")
 def cooc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Co-occurring ids of the words that open each side (its first three are the sentence here)."""
-    coded = []
-    for side in bitext(spark, sf_dir):
-        side = side.filter("idx <= 3")
-        coded.append(side.join(counts.vocabulary(side, [*PAIR, "idx"]), "tok").select(*PAIR, "id"))
+    return _cooc(*(side.filter("idx <= 3") for side in bitext(spark, sf_dir)))
+
+
+@query(f"WITH {_BITEXT}, v AS (SELECT tok, row_number() OVER (ORDER BY min((conv_id, turn, idx))) + 1 AS id FROM s GROUP BY tok), u AS (SELECT tok, row_number() OVER (ORDER BY min((conv_id, turn, idx))) + 1 AS id FROM t GROUP BY tok), e AS (SELECT DISTINCT conv_id, turn, id FROM s JOIN v USING (tok)), f AS (SELECT DISTINCT conv_id, turn, id FROM t JOIN u USING (tok)) SELECT DISTINCT e.id::BIGINT AS src_id, f.id::BIGINT AS tgt_id FROM e JOIN f USING (conv_id, turn) UNION SELECT DISTINCT 0, id FROM f")
+def cooc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Co-occurring ids of all words of both sides."""
+    return _cooc(*bitext(spark, sf_dir))
+
+
+def _cooc(*sides: DataFrame) -> DataFrame:
+    coded = [side.join(counts.vocabulary(side, [*PAIR, "idx"]), "tok").select(*PAIR, "id") for side in sides]
     out = counts.cooccurrence(*coded, PAIR)
     return out.select(F.col("src_id").cast("bigint").alias("src_id"), F.col("tgt_id").cast("bigint").alias("tgt_id"))
 
