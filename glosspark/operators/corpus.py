@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glosspark.session import cut
+
 # fixed values of the format: the order of tiers in an instance
 TIER_ORDER = ["o", "c", "n", "p", "w", "m", "g", "w-pos", "t", "tw", "tw-pos", "ps", "a", "dt", "dtb"]
 
@@ -43,7 +45,7 @@ def running(sizes: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:
     Ranges of ``order`` are dealt out by sampling; each range sums its own rows, and the sums of the ranges before (one row
     per range) are added.
     """
-    ranged = sizes.repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id())
+    ranged = cut(sizes.repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id()))  # read twice, and each sampling has its own ranges
     own = F.expr(f"sum(n) OVER (PARTITION BY _p ORDER BY {', '.join(order)} ROWS UNBOUNDED PRECEDING)")
     totals = ranged.groupBy("_p").agg(F.sum("n").alias("_t")).withColumn("_before", F.expr("coalesce(sum(_t) OVER (ORDER BY _p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
     return ranged.withColumn("_own", own).join(F.broadcast(totals.select("_p", "_before")), "_p").withColumn("upto", F.col("_own") + F.col("_before")).drop("_p", "_own", "_before")  # at most ``buckets`` rows
@@ -67,6 +69,18 @@ def prefix_curve(rows: DataFrame, ord_column: str, step: int, most: int) -> Data
     return rows.filter(F.col(ord_column) <= most).withColumn("size", F.explode(F.sequence(first.cast("int"), F.lit(most), F.lit(step))))
 
 
+def whole_curve(rows: DataFrame, order: list[str], step: int, value: str) -> DataFrame:
+    """(size, sentences, total): rows and the sum of ``value`` over each prefix of step, 2 * step, ... rows; the last size holds all.
+
+    Every step is summed once, and running totals go over the steps.
+    """
+    size = (F.ceil(F.col("upto") / step) * step).cast("int").alias("size")
+    ranked = running(rows.select(*order, F.col(value).alias("_v"), F.lit(1).alias("n")), order)
+    steps = cut(ranked.groupBy(size).agg(F.sum("n").alias("_n"), F.sum("_v").alias("n")))
+    totals = running(steps, ["size"]).select("size", F.col("_n").alias("n"), F.col("upto").alias("total"))
+    return running(totals, ["size"]).select("size", F.col("upto").alias("sentences"), "total")
+
+
 def first_share(rows: DataFrame, order: list[str], share: float) -> DataFrame:
     """The first round(share * n) rows."""
     counted = running(rows.withColumn("n", F.lit(1)), order).crossJoin(F.broadcast(rows.agg(F.count("*").alias("_n"))))

@@ -497,6 +497,12 @@ def data_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.prefix_curve(rows, "ord", 50, 500).groupBy("size").agg(F.count("*").alias("sentences"), F.sum("n_chars").alias("chars"))
 
 
+@query("WITH d AS (SELECT (row_number() OVER (ORDER BY doc_id) + 49) // 50 * 50 AS size, n_chars FROM documents), s AS (SELECT size, count(*) AS n, sum(n_chars) AS c FROM d GROUP BY size) SELECT size::INT AS size, (sum(n) OVER (ORDER BY size))::BIGINT AS sentences, (sum(c) OVER (ORDER BY size))::BIGINT AS chars FROM s")
+def data_curve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """data_curve up to all documents, the last partial step included."""
+    return corpus.whole_curve(table(spark, sf_dir, "documents"), ["doc_id"], 50, "n_chars").withColumnRenamed("total", "chars")
+
+
 @query("SELECT event_id, event_type AS label, lag(event_type, 1, '**NONE**') OVER w AS prev, lead(event_type, 1, '**NONE**') OVER w AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sequence(spark, sf_dir).withColumn("idx", F.struct("ts", "event_id"))

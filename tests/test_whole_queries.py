@@ -14,3 +14,13 @@ def test_cooc_all(spark, tmp_path):
     want = {(ids[0][e], ids[1][f]) for es, fs in pairs for e in es for f in fs} | {(0, i) for i in ids[1].values()}
     got = QUERIES["cooc_all"](spark, str(tmp_path)).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_data_curve_all(spark, tmp_path):
+    n = 40027  # enough that ranges are dealt by a sample
+    sizes = [i % 17 for i in range(n)]
+    spark.range(n).selectExpr("id * 3 AS doc_id", "id % 17 AS n_chars").orderBy("n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    upto = [0, *itertools.accumulate(sizes)]
+    want = {(k, min(k, n), upto[min(k, n)]) for k in range(50, n + 50, 50)}
+    got = QUERIES["data_curve_all"](spark, str(tmp_path)).collect()
+    assert {(r["size"], r.sentences, r.chars) for r in got} == want and len(got) == len(want)
