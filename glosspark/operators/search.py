@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -45,13 +46,14 @@ def find_first(items: DataFrame, condition: Column, order: list[str], key: str =
     return find_all(items, condition).groupBy(key).agg(F.min_by(columns, F.struct(*order)).alias("_r")).select("_r.*")
 
 
-def follow(links: DataFrame, keys: list[str], most: int = 16) -> DataFrame:
+def follow(links: DataFrame, keys: list[str]) -> DataFrame:
     """(key.., item, target) for every chain of ``links(item, target)``, level by level until nothing is new."""
     step = links.select(*keys, F.col("item").alias("_i"), F.col("target").alias("_t"))
     now = out = cut(links.select(*keys, "item", "target").distinct())
-    for _ in range(most):
+    for d in itertools.count(2):
         now = cut(now.join(step.withColumnRenamed("_i", "target"), [*keys, "target"]).select(*keys, "item", F.col("_t").alias("target")).distinct().join(out, [*keys, "item", "target"], "left_anti"))
         if now.isEmpty():
-            break
+            return out
         out = out.unionByName(now)
-    return out
+        if d % 16 == 0:
+            out = cut(out)

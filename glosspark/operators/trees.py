@@ -6,6 +6,7 @@ reachability run as joins over node and edge tables; projection is recursive by
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import defaultdict
 from collections.abc import Iterable
@@ -345,14 +346,15 @@ def productions(node_table: DataFrame) -> DataFrame:
     return j.groupBy(F.concat_ws(" -> ", "lhs", "rhs").alias("rule")).agg(F.count("*").alias("n"))
 
 
-def depths(edges: DataFrame, keys: list[str], most: int = 64) -> DataFrame:
+def depths(edges: DataFrame, keys: list[str]) -> DataFrame:
     """(key.., dep, depth) of every edge's shallowest way from the root 0, level by level until a level is empty."""
     e = edges.select(*keys, "dep", "head").distinct()
     level = cut(e.filter("head = 0").select(*keys, "dep", F.lit(1).alias("depth")).distinct())
     out = level
-    for d in range(2, most + 1):
+    for d in itertools.count(2):
         level = cut(e.join(level.select(*keys, F.col("dep").alias("head")), [*keys, "head"]).select(*keys, "dep", F.lit(d).alias("depth")).distinct().join(out, [*keys, "dep"], "left_anti").select(*keys, "dep", "depth"))
         if level.isEmpty():
             return out
         out = out.unionByName(level)
-    return out
+        if d % 16 == 0:
+            out = cut(out)
