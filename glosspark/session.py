@@ -1,4 +1,4 @@
-"""What every operator that runs Python on executors needs from the session."""
+"""What operators need from the session: this package on the executors, and a folder that all machines share."""
 
 from __future__ import annotations
 
@@ -30,9 +30,22 @@ def ship(spark: SparkSession | None = None) -> None:
     context.addPyFile(str(archive))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is named, only a master on this machine gets one of its own: on a cluster no other machine could read it.
+    """
+    context = spark.sparkContext
+    at = context._jsc.sc().getCheckpointDir()
+    if not at.isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp())
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows without their lineage, through the folder that the cluster names; only where none is named (tests) a folder is made."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+    """The same rows without their lineage, through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
