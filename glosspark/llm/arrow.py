@@ -7,12 +7,8 @@ batch that happens to hold many long documents is worked off piece by piece.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,25 +18,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-_shipped: set[str] = set()
+from glosspark.session import ship
+
 SLICE_BYTES = 4 << 20
 BATCH_ROWS = 512
 
 
-def set_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches short (a batch is held whole by the JVM and by Python) and ship this package to the executors."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        _shipped.add(context.applicationId)
-        top = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp()  # the driver serves the file from here for as long as it runs
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        archive = Path(folder, f"{top.name}.zip")
-        with zipfile.ZipFile(archive, "w") as z:
-            for file in sorted(top.rglob("*.py")):
-                z.write(file, file.relative_to(top.parent))
-        context.addPyFile(str(archive))
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def set_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches short (a batch is held whole by the JVM and by Python) and ship this package to the executors.
+
+    Plans read the setting when they run, so it stays; a smaller value of the session's own is left alone.
+    """
+    own = int(spark.conf.get(ARROW_ROWS))
+    spark.conf.set(ARROW_ROWS, str(min(own, BATCH_ROWS) if own > 0 else BATCH_ROWS))
+    ship(spark)
+
+
+@contextmanager
+def long_batches(spark: SparkSession, rows: int = 1 << 16):
+    """Longer batches of narrow rows for what runs inside the block."""
+    own = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, own)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ leave the task, so output is linear in the members. Components come from star co
 
 Defined results: null and empty texts have fingerprint 0 and are linked like any other; rows repeat as they were
 given; a component of null ids has a null component_id; an empty table gives an empty table; extra columns
-are ignored by ``near_duplicates`` and kept by ``keep_first``.
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +26,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glosspark.llm.arrow import set_batches, text_udf
-from glosspark.llm.components import components, cut
+from glosspark.llm.arrow import long_batches, set_batches, text_udf
+from glosspark.llm.components import components
+from glosspark.session import cut
 
 THRESHOLD = 3
 SEED = 42
 BLOCK = 1 << 20  # comparisons at a time
 
 
+def majority(h: np.ndarray) -> np.uint64:
+    """The bits that are set in over half the values."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 15):
+        ones += np.unpackbits(h[at : at + (1 << 15)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.uint16)
+    return np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0]
+
+
 def fingerprint_slice(offsets: np.ndarray, data: np.ndarray, shingle: int = 3) -> np.ndarray:
     """The fingerprint of each row as a signed 64-bit integer."""
     raw = data.tobytes().lower()  # bytes: A-Z only
@@ -45,11 +54,7 @@ def fingerprint_slice(offsets: np.ndarray, data: np.ndarray, shingle: int = 3) -
         else:
             grams, n = map(b" ".join, zip(*(words[k:] for k in range(shingle)))), len(words) - shingle + 1
         if n:
-            h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, n)
-            ones = np.zeros(64, np.int64)
-            for at in range(0, n, 1 << 15):
-                ones += np.unpackbits(h[at : at + (1 << 15)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.uint16)
-            out[i] = np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0]
+            out[i] = majority(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, n))
     return out.view(np.int64)
 
 
@@ -130,10 +135,8 @@ def links(fps: DataFrame) -> DataFrame:
 
 def classes(rows: DataFrame) -> DataFrame:
     """``(fp, root)`` for every fingerprint that has a link, from ``rows`` with a column ``fp``."""
-    spark = rows.sparkSession
-    set_batches(spark, 1 << 16)
-    found = components(links(rows.select("fp").distinct()))
-    set_batches(spark)
+    with long_batches(rows.sparkSession):
+        found = components(links(rows.select("fp").distinct()))
     return found.select(F.col("node").alias("fp"), "root")
 
 
@@ -145,15 +148,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     first = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     known = rooted.select("fp", "root").join(first, "root").select("fp", "component_id")
     return marked.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``docs`` without all but one row of each component: that of the smallest doc_id (nulls last), then of the smallest text hash."""
-    columns = docs.columns
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    marked = cut(with_fingerprint(keyed, shingle=shingle).select("doc_id", "_h", "fp"))
-    best = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_h")).alias("best"))
-    rooted = best.join(classes(marked), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    stay = rooted.groupBy("root").agg(F.min("best").alias("b")).select(F.col("b.doc_id").alias("_id"), F.col("b._h").alias("_k"))
-    kept = keyed.join(stay, keyed.doc_id.eqNullSafe(stay._id) & (keyed._h == stay._k), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_h"]).select(*columns)

@@ -87,6 +87,37 @@ def test_hot_anchors(spark):
         assert sum(covered) == removed
 
 
+def first_kept(texts, length):
+    """Each text without the bytes of windows that have an equal one in a text of smaller MD5, or before in the same text."""
+    raw = {hashlib.md5((t or "").encode()).digest(): (t or "").encode() for t in texts}
+    seen, out = set(), {}
+    for key in sorted(raw):
+        b, covered = raw[key], bytearray(len(raw[key]))
+        for i in range(len(b) - length + 1):
+            if b[i : i + length] in seen:
+                covered[i : i + length] = b"\1" * length
+            seen.add(b[i : i + length])
+        out[b] = bytes(x for x, y in zip(b, covered) if not y).decode("utf-8", "ignore")
+    return [None if t is None else out[t.encode()] for t in texts]
+
+
+def test_first_occurrence_stays(spark):
+    texts = texts_with_repeats()
+    docs = [(i, t, "kept", 1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, spans string, key int").repartition(3)
+    for length in (200, 400):
+        got = {r.doc_id: r.text for r in suffix.strip(df, length=length, first=True).collect()}
+        assert [got[i] for i in range(len(texts))] == first_kept(texts, length)
+
+
+def test_hot_anchors_first(spark, monkeypatch):
+    texts = texts_with_repeats()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(suffix.repeated_spans, "__defaults__", ("text", 2, 400, False))
+    got = {r.doc_id: r.text for r in suffix.strip(df, length=200, first=True).collect()}
+    assert [got[i] for i in range(len(texts))] == first_kept(texts, 200)
+
+
 def fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
@@ -120,8 +151,6 @@ def test_simhash_documents(spark):
     want = roots(fps)
     for i in range(len(texts)):
         assert got[i].fingerprint == f"{fps[i]:016x}" and got[i].component_id == want[i]
-    kept = simhash.keep_first(spark.createDataFrame(rows + rows[:3], "doc_id long, text string"))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
