@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from glosspark.llm.arrow import set_batches, text_udf
 from glosspark.llm.hashing import LETTERS, sum_by_row
-from glosspark.llm.samples import fold
+from glosspark.llm.samples import fold, one_text
 from glosspark.llm.wordgrams import count_features, distinct_words, word_grams
 
 BITS = 16
@@ -80,18 +80,22 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], families: dict[str, str]
 
 
 def training_texts(docs: DataFrame, per_language: int, folds: int, remainder: int) -> DataFrame:
-    """At most ``per_language`` rows ``(doc_id, lang, text)`` of each language outside the held-out fold, chosen by the hash of the id."""
+    """At most ``per_language`` rows ``(doc_id, lang, text, place)`` of each language outside the held-out fold, chosen by the hash of the id."""
     ids = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != remainder)).groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    ids = ids.withColumn("rn", F.expr("row_number() OVER (PARTITION BY lang ORDER BY xxhash64(doc_id), doc_id)")).filter(F.col("rn") <= per_language).drop("rn")
-    return docs.select("doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"])
+    # a share of each language by its hash first, twice as many as asked for, so that no task ranks all rows of a language
+    many = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    share = (F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5) * F.col("n")
+    few = ids.join(many, "lang").filter(share < 2 * per_language).select("doc_id", "lang")
+    few = few.withColumn("rn", F.expr("row_number() OVER (PARTITION BY lang ORDER BY xxhash64(doc_id), doc_id)")).filter(F.col("rn") <= per_language).drop("rn")
+    return one_text(docs.select("doc_id", "text").join(few, "doc_id"), "lang")
 
 
 def train_languages(docs: DataFrame, per_language: int = 1500, folds: int = 5, remainder: int = 0, families: dict[str, str] | None = None) -> LanguageModel:
     """Fit on at most ``per_language`` rows of each language; only their hashed counts reach the driver."""
     set_batches(docs.sparkSession)
     features = text_udf(lambda o, d: count_features(o, d, ORDERS, BITS), "idx binary, val binary", 1 << 20)
-    got = training_texts(docs, per_language, folds, remainder).select("doc_id", "lang", features("text").alias("f")).select("doc_id", "lang", "f.*").collect()
-    got.sort(key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15) % (1 << 64))
+    got = training_texts(docs, per_language, folds, remainder).select("place", "lang", features("text").alias("f")).select("place", "lang", "f.*").collect()
+    got.sort(key=lambda r: r.place)
     return fit([(np.frombuffer(r.idx, np.uint32), np.frombuffer(r.val, np.float32), r.lang) for r in got if r.idx], families)
 
 

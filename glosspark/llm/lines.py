@@ -1,19 +1,23 @@
-"""Substring dedup by line hashing.
+r"""Substring dedup by hashing lines, paragraphs, or pieces of lines.
 
-A text's units are its lines (or paragraphs, cut at blank lines). A unit is normalised (A-Z lower-cased, white space
-``[\\x20\\x09-\\x0D]`` folded to single blanks, trimmed) and hashed to 128 bits; units under ``min_words`` words are left
-alone. Digests are grouped over the whole corpus with map-side partial counts, so a line that a third of all documents
-hold costs one row per task. The occurrence of the smallest (doc_id, offset) stays, nulls last; all others are removed, and
-every removal keeps the unit's byte offsets in the original text.
+Words are ``[^\x20\x09-\x0D]+``, A-Z lower-cased; a unit is a run of words and is hashed as its words alone, so white space
+does not count. Units end at line ends, or at blank lines (``paragraph``); ``piece`` also ends one behind every word whose MD5
+starts below ``CUT`` (one in six), so that a passage is cut alike wherever it stands in a line. Digests are grouped over the
+whole corpus with map-side partial counts. The occurrence of the smallest (doc_id, text hash, offset) stays, null ids
+last; the others are repeats. Pieces that follow each other and are repeats make one run. A unit or run of ``min_words`` words
+or more is removed; every removal keeps its byte offsets in the original text.
 
-Defined results: null and empty texts have no units; rows equal in doc_id and text are one occurrence, kept or removed together;
-an empty table gives an empty table; extra columns are ignored by ``repeated_units`` and kept by ``strip``.
+Equality of units is decided on 64-bit digests. The join that looks up the repeats is followed by a deal by document, so the
+engine may split it where a unit is very common.
+
+Defined results: null and empty texts have no units; rows equal in doc_id and text are one occurrence, kept or removed together, with
+one row for each removal; an empty table gives an empty table; extra columns are ignored by ``repeated_units`` and kept by
+``strip``, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
-from hashlib import blake2b
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -21,45 +25,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosspark.llm.arrow import set_batches, text_udf
+from glosspark.llm.hashing import LOWER, WORDS, mix, prefix_hash, range_hash, tokens
+from glosspark.llm.rows import field, packed, unpacked
 
 MIN_WORDS = 16
-UNITS = "array<struct<digest binary, start int, stop int>>"
-_BREAK = {"line": re.compile(rb"\n"), "paragraph": re.compile(rb"\n[\x20\x09\x0B-\x0D]*\n\s*")}
-
-
-def units_slice(offsets: np.ndarray, data: np.ndarray, unit: str, min_words: int) -> pa.Array:
-    """(digest, start, stop) of each unit that is long enough, by row."""
-    raw, rows = data.tobytes(), []
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        text, out, at = raw[a:b], [], 0
-        edges = [(m.start(), m.end()) for m in _BREAK[unit].finditer(text)] + [(len(text), len(text))]
-        for stop, after in edges:
-            words = text[at:stop].lower().split()
-            if len(words) >= max(1, min_words):
-                out.append({"digest": blake2b(b" ".join(words), digest_size=16).digest(), "start": at, "stop": stop})
-            at = after
-        rows.append(out)
-    return pa.array(rows, pa.list_(pa.struct([("digest", pa.binary()), ("start", pa.int32()), ("stop", pa.int32())])))
-
-
-def repeated_units(docs: DataFrame, text: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per removed unit: doc_id, start, stop (bytes), and the kept occurrence first_doc_id, first_start; copies counts all occurrences."""
-    set_batches(docs.sparkSession)
-    find = text_udf(lambda o, d: units_slice(o, d, unit, min_words), UNITS, 1 << 20)
-    rows = docs.select("doc_id", F.explode(find(F.col(text))).alias("u")).select("doc_id", "u.*")
-    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("start"))
-    groups = rows.groupBy("digest").agg(F.count("*").alias("copies"), F.min(place).alias("first")).filter("copies > 1")
-    out = rows.join(groups, "digest").filter(place != F.col("first"))
-    return out.select("doc_id", "start", "stop", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "copies")
-
-
-def strip(docs: DataFrame, text: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with removed units cut out of ``text``; other columns as they were. Rows are told apart by doc_id and text."""
-    keyed = docs.withColumn("_key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col(text))))
-    own = keyed.select(F.col("_key").alias("doc_id"), text).dropDuplicates(["doc_id"])
-    order = keyed.groupBy(F.col("_key").alias("k")).agg(F.min("doc_id").alias("id"))
-    ranked = own.join(order, own.doc_id == order.k).select(F.struct(F.col("id").isNull().alias("n"), "id", F.col("k")).alias("doc_id"), text)
-    spans = repeated_units(ranked, text, unit, min_words).groupBy(F.col("doc_id.k").alias("_k")).agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
+CUT = "2b"  # 43 of 256
+BREAKS = {"piece": 1, "line": 1, "paragraph": 2}  # line ends that end a unit
+UNITS = "array<struct<digest bigint, start int, stop int, words int>>"
+
+
+def units_slice(offsets: np.ndarray, data: np.ndarray, unit: str) -> pa.Array:
+    """Each row's units."""
+    low = LOWER[data]
+    start, end, row = tokens(offsets, low, WORDS)
+    word = mix(range_hash(prefix_hash(low), start, end))
+    ends = np.concatenate([[0], np.cumsum(data == 10)])
+    opens = np.ones(len(start), bool)
+    opens[1:] = (row[1:] != row[:-1]) | (ends[start[1:]] - ends[end[:-1]] >= BREAKS[unit])
+    if unit == "piece":
+        _, first, inverse = np.unique(word, return_index=True, return_inverse=True)
+        raw = low.tobytes()
+        cuts = np.array([md5(raw[a:b]).hexdigest() < CUT for a, b in zip(start[first].tolist(), end[first].tolist())], bool)
+        opens[1:] |= cuts[inverse][:-1]
+    at = np.flatnonzero(opens)
+    to = np.append(at[1:], len(start))[: len(at)]
+    # the words' hashes, hashed as a sequence
+    digest = mix(range_hash(prefix_hash(word), at, to) + (to - at).astype(np.uint64))
+    base = offsets[:-1][row[at]]
+    kind = [("digest", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32())]
+    values = [digest.view(np.int64), (start[at] - base).astype(np.int32), (end[to - 1] - base).astype(np.int32), (to - at).astype(np.int32)]
+    rows = pa.StructArray.from_arrays([pa.array(v, k) for v, (_, k) in zip(values, kind)], fields=[pa.field(*k) for k in kind])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[at], np.arange(len(offsets))), pa.int32()), rows)
+
+
+def removals(rows: DataFrame, unit: str, min_words: int) -> DataFrame:
+    """Removed units or runs of ``rows(id, h, text)``: ``(id, h, start, stop, n_words, n_units, first, copies)``."""
+    set_batches(rows.sparkSession)
+    find = text_udf(lambda o, d: units_slice(o, d, unit), UNITS, 1 << 20)
+    units = rows.select("id", "h", F.posexplode(find("text")).alias("i", "u")).select("id", "h", "i", "u.*")
+    if unit != "piece":
+        units = units.filter(F.col("words") >= min_words)
+    place = F.struct(F.col("id").isNull().alias("n"), "id", "h", "start")
+    groups = units.groupBy("digest").agg(F.count("*").alias("copies"), F.min(place).alias("first")).filter("copies > 1")
+    again = units.join(groups, "digest").filter(place != F.col("first"))
+    island = "i - dense_rank() OVER (PARTITION BY id, h ORDER BY i)" if unit == "piece" else "i"
+    again = again.select("id", "h", "i", "start", "stop", "words", "copies", "first", F.expr(island).alias("island")).dropDuplicates(["id", "h", "i"])
+    runs = again.groupBy("id", "h", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"), F.count("*").alias("n_units"), F.min(F.struct("i", "first")).alias("f"), F.min("copies").alias("copies"))
+    return runs.filter(F.col("n_words") >= min_words).select("id", "h", "start", "stop", "n_words", "n_units", F.col("f.first").alias("first"), "copies")
+
+
+def repeated_units(docs: DataFrame, text: str = "text", unit: str = "piece", min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per removal: doc_id, start, stop (bytes), its words and units, the kept occurrence of its first unit, and the least count of its units."""
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    return removals(rows, unit, min_words).select(F.col("id").alias("doc_id"), "start", "stop", "n_words", "n_units", F.col("first.id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "copies")
+
+
+def strip(docs: DataFrame, text: str = "text", unit: str = "piece", min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with the removals cut out of ``text``, a line that is removed whole with its end; other columns as they were."""
+    keyed = packed(docs, text).withColumn("id", field(docs, "doc_id")).withColumn("h", F.xxhash64("text"))
+    spans = removals(keyed, unit, min_words).groupBy("id", "h").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).select(F.col("id").alias("_id"), F.col("h").alias("_h"), "spans")
 
     def cut_out(texts: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
@@ -68,24 +92,36 @@ def strip(docs: DataFrame, text: str = "text", unit: str = "line", min_words: in
                 raw, at, keep = t.encode(), 0, []
                 for x in sorted(found, key=lambda x: x["start"]):
                     keep.append(raw[at : x["start"]])
-                    at = x["stop"] + (raw[x["stop"] : x["stop"] + 1] == b"\n")  # with its line end
+                    at = x["stop"]
+                    if raw[: x["start"]].rpartition(b"\n")[2].strip() == b"" == raw[at:].partition(b"\n")[0].strip():
+                        at += len(raw[at:].partition(b"\n")[0]) + 1
                 t = (b"".join(keep) + raw[at:]).decode()
             out.append(t)
         return pa.array(out, pa.string())
 
     cut_out.__annotations__ = {"texts": pa.Array, "spans": pa.Array, "return": pa.Array}
-    joined = keyed.join(spans, keyed["_key"] == spans["_k"], "left")
-    return joined.withColumn(text, F.arrow_udf(cut_out, "string").asNondeterministic()(F.col(text), F.col("_spans"))).select(*docs.columns)
+    joined = keyed.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    return joined.withColumn("text", F.arrow_udf(cut_out, "string").asNondeterministic()(F.col("text"), F.col("spans"))).select(*unpacked(docs, text))
+
+
+def oracle(cut: str, island: str, least: int) -> str:
+    """The removals in DuckDB SQL, without digests."""
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, * FROM (SELECT DISTINCT doc_id, text FROM documents)),
+t AS (SELECT rid, doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+')) AS tok, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+'), 1) AS k FROM d),
+p AS (SELECT *, coalesce(sum(strlen(tok)) OVER (PARTITION BY rid ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS pos,
+             lag(tok) OVER (PARTITION BY rid ORDER BY k) AS sep, translate(tok, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM t),
+w AS (SELECT *, lag(word) OVER (PARTITION BY rid ORDER BY k) AS prev FROM p WHERE regexp_matches(tok, '^[^\x20\x09-\x0D]')),
+c AS (SELECT *, sum(CASE WHEN prev IS NULL OR contains(sep, chr(10)) OR {cut} THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY k) AS i FROM w),
+u AS (SELECT rid, doc_id, i, string_agg(word, ' ' ORDER BY k) AS norm, min(pos) AS start, max(pos + strlen(tok))::INT AS stop, count(*) AS words FROM c GROUP BY rid, doc_id, i),
+n AS (SELECT *, count(*) OVER (PARTITION BY norm) AS copies, first_value(doc_id) OVER f AS first_doc_id, first_value(start) OVER f AS first_start FROM u WINDOW f AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, start)),
+r AS (SELECT *, {island} AS island FROM n WHERE copies > 1 AND (doc_id, start) IS DISTINCT FROM (first_doc_id, first_start))
+SELECT doc_id, min(start) AS start, max(stop) AS stop, sum(words)::BIGINT AS n_words, count(*) AS n_units, arg_min(first_doc_id, i) AS first_doc_id, arg_min(first_start, i) AS first_start, min(copies) AS copies
+FROM r GROUP BY rid, doc_id, island HAVING sum(words) >= {least}
+"""
 
 
-ORACLE = rf"""
-WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-u AS (SELECT doc_id, i, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm,
-             coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM l),
-k AS (SELECT *, count(*) OVER (PARTITION BY norm) AS copies, first_value(doc_id) OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST, start) AS first_doc_id,
-             first_value(start) OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST, start) AS first_start FROM u WHERE len(string_split(norm, ' ')) >= {MIN_WORDS})
-SELECT doc_id, start, (start + strlen(line))::INT AS stop, first_doc_id, first_start, copies FROM k WHERE copies > 1 AND (doc_id, start) <> (first_doc_id, first_start)
-"""
+ORACLE = oracle(f"md5(prev) < '{CUT}'", "i - row_number() OVER (PARTITION BY rid ORDER BY i)", MIN_WORDS)
 
-#: The same for every line that is not blank.
-ORACLE_ALL = ORACLE.replace(f"len(string_split(norm, ' ')) >= {MIN_WORDS}", "norm <> ''")
+#: The same for every whole line that is not blank.
+ORACLE_ALL = oracle("false", "i", 1)

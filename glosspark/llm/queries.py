@@ -63,8 +63,8 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8_lines for lines of any length: its SQL binds that query to 16 words or more."""
-    return lines.repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
+    """op8 for whole lines of any length."""
+    return lines.repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"), unit="line", min_words=1)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

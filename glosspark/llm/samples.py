@@ -17,10 +17,10 @@ def held_out(doc_id: Column, folds: int, remainder: int) -> Column:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, limit: int, folds: int = 4, remainder: int = 2) -> DataFrame:
-    """At most ``limit`` training rows ``(doc_id, text, label)``, chosen by the hash of the id.
+    """At most ``limit`` training rows ``(doc_id, label, text, place)``, chosen by the hash of the id.
 
     The ids are chosen before any text is touched. A doc_id labelled twice has its smallest label; a doc_id
-    that several documents share gives one row.
+    that several documents share gives one row. Ids may be of any type that has a text form.
     """
     ids = (
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != remainder))
@@ -30,4 +30,10 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, limit: int, f
         .orderBy(F.xxhash64(F.col("doc_id")), "doc_id")
         .limit(limit)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    return one_text(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "label")
+
+
+def one_text(rows: DataFrame, label: str) -> DataFrame:
+    """``(doc_id, label, text, place)``: of the texts that share an id that of the smallest hash, and the row's place in training."""
+    one = rows.groupBy("doc_id", label).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return one.select("doc_id", label, "t.text", F.xxhash64(F.lit(1), F.col("doc_id")).alias("place"))

@@ -380,8 +380,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", hot: int = HOT, length:
     got = cut(got)
     shards = got.filter("NOT hot").select("anchor", "key", "start", "once", "ctx").repartition("anchor").sortWithinPartitions("anchor")
     edges = shards.mapInArrow(lambda batches: shard_spans(batches, length, first), "key binary, s int, e int")
-    busy = hot_spans(got.filter("hot"), length, first)
-    rows = whole.unionByName(edges.unionByName(busy).withColumn("kind", F.lit(2)))
+    if not got.filter("hot").isEmpty():
+        edges = edges.unionByName(hot_spans(got.filter("hot"), length, first))
+    rows = whole.unionByName(edges.withColumn("kind", F.lit(2)))
     # as one number each, which the set functions can hash
     of = lambda k: F.collect_set(F.when(F.col("kind") == k, F.shiftleft(F.col("s").cast("bigint"), 32) + F.col("e"))).alias(f"k{k}")
     sets = rows.groupBy("key").agg(*(of(k) for k in range(3)))

@@ -57,9 +57,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4, rate: f
     ratio[seen] = np.log(rest[1, seen] / rest[0, seen])
     v, g2 = np.full(size, 0.1), np.full(size, 1e-3)
     bias, b2 = float(np.log(n[1] / n[0])), 1e-3
-    scaled = [(i[ratio[i] != 0].astype(np.int64), (x * ratio[i])[ratio[i] != 0], y) for i, x, y in rows]
+    scaled = [(i[ratio[i] != 0], (x * ratio[i])[ratio[i] != 0].astype(np.float32), y) for i, x, y in rows]
     for _ in range(epochs):
         for i, x, y in scaled:
+            i = i.astype(np.int64)
             p = 1 / (1 + np.exp(-np.clip(v[i] @ x + bias, -35, 35)))
             g = (p - y) * x + l2 * v[i]
             g2[i] += g * g
@@ -73,8 +74,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max
     """Fit on at most ``max_train_docs`` labelled rows outside the held-out fold; only their hashed counts reach the driver."""
     set_batches(docs.sparkSession)
     sample = labelled_texts(docs, labels, label, max_train_docs, folds, remainder)
-    got = sample.select("doc_id", "label", text_udf(row_features, "idx binary, val binary", 1 << 20)("text").alias("f")).select("doc_id", "label", "f.*").collect()
-    got.sort(key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15) % (1 << 64))
+    got = sample.select("place", "label", text_udf(row_features, "idx binary, val binary", 1 << 20)("text").alias("f")).select("place", "label", "f.*").collect()
+    got.sort(key=lambda r: r.place)
     return fit([(np.frombuffer(r.idx, np.uint32), np.frombuffer(r.val, np.float32), r.label) for r in got])
 
 

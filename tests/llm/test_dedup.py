@@ -182,9 +182,50 @@ def test_lines(spark):
     long_ = " ".join(f"w{i}" for i in range(20))
     docs = [(3, f"x\n{long_}\ny"), (1, f"{long_.upper()}  \nshort"), (2, f"é\n\t{long_}\n{long_}"), (None, long_), (4, None), (5, "short\nshort")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {(r.doc_id, r.start, r.stop, r.first_doc_id, r.first_start, r.copies) for r in lines.repeated_units(df).collect()}
+    got = {(r.doc_id, r.start, r.stop, r.first_doc_id, r.first_start, r.copies) for r in lines.repeated_units(df, unit="line").collect()}
     n = len(long_)
-    assert got == {(3, 2, 2 + n, 1, 0, 5), (2, 3, 4 + n, 1, 0, 5), (2, 5 + n, 5 + 2 * n, 1, 0, 5), (None, 0, n, 1, 0, 5)}
-    left = {r.doc_id: r.text for r in lines.strip(df).collect()}
-    assert left == {3: "x\ny", 1: docs[1][1], 2: "é\n", None: "", 4: None, 5: "short\nshort"}
+    assert got == {(3, 2, 2 + n, 1, 0, 5), (2, 4, 4 + n, 1, 0, 5), (2, 5 + n, 5 + 2 * n, 1, 0, 5), (None, 0, n, 1, 0, 5)}
+    more = df.selectExpr("doc_id", "text", "doc_id AS id", "text AS h", "1 AS spans", "2 AS row")
+    for unit in ("line", "piece"):
+        left = lines.strip(more, unit=unit)
+        assert left.columns == more.columns
+        assert {r.doc_id: r.text for r in left.collect()} == {3: "x\ny", 1: docs[1][1], 2: "é\n\t", None: "", 4: None, 5: "short\nshort"}
+    paragraphs = spark.createDataFrame([(1, "a b\nc\n \nd"), (2, "x\n\na B c")], "doc_id long, text string")
+    assert [(r.doc_id, r.start, r.stop) for r in lines.repeated_units(paragraphs, unit="paragraph", min_words=3).collect()] == [(2, 3, 8)]
     assert lines.repeated_units(df.filter("false")).count() == 0
+
+
+def pieces_by_hand(docs, least):
+    """Removed runs of pieces, by a scan in order of the ids."""
+    seen, out = set(), set()
+    for doc_id, text in docs:
+        run, last, words = [], None, []
+        units = []
+        for m in re.finditer(rb"[^\x20\x09-\x0D]+", (text or "").encode()):
+            w = re.sub(rb"[A-Z]", lambda x: x[0].lower(), m[0])
+            if last is None or b"\n" in text.encode()[last.end() : m.start()] or hashlib.md5(words[-1]).hexdigest() < lines.CUT:
+                units.append([[], m.start(), 0])
+            units[-1][0].append(w)
+            units[-1][2] = m.end()
+            last = m
+            words.append(w)
+        for u in [*units, None]:
+            if u and tuple(u[0]) in seen:
+                run.append(u)
+                continue
+            if sum(len(x[0]) for x in run) >= least:
+                out.add((doc_id, run[0][1], run[-1][2]))
+            run = []
+            if u:
+                seen.add(tuple(u[0]))
+    return out
+
+
+def test_pieces(spark):
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choice(["the", "Of", "é", "wort", "x1", "lang", "and"]) + str(rng.choice(["", rng.randrange(40)])) + rng.choice([" ", "  ", " ", "\n", "\t"]) for _ in range(n))
+    passage = noise(60)
+    texts = [noise(rng.randrange(80)) + (passage if k % 3 == 0 else "") + noise(rng.randrange(30)) for k in range(24)] + ["", None, passage * 2, "the " * 9000]
+    docs = list(enumerate(texts))
+    got = {(r.doc_id, r.start, r.stop) for r in lines.repeated_units(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == pieces_by_hand(docs, lines.MIN_WORDS) and len(got) > 8
