@@ -76,13 +76,13 @@ def removals(rows: DataFrame, unit: str, min_words: int) -> DataFrame:
 
 def repeated_units(docs: DataFrame, text: str = "text", unit: str = "piece", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per removal: doc_id, start, stop (bytes), its words and units, the kept occurrence of its first unit, and the least count of its units."""
-    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.hash(text).alias("h"), F.col(text).alias("text"))
     return removals(rows, unit, min_words).select(F.col("id").alias("doc_id"), "start", "stop", "n_words", "n_units", F.col("first.id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "copies")
 
 
 def strip(docs: DataFrame, text: str = "text", unit: str = "piece", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the removals cut out of ``text``, a line that is removed whole with its end; other columns as they were."""
-    keyed = packed(docs, text).withColumn("id", field(docs, "doc_id")).withColumn("h", F.xxhash64("text"))
+    keyed = packed(docs, text).withColumn("id", field(docs, "doc_id")).withColumn("h", F.hash("text"))
     spans = removals(keyed, unit, min_words).groupBy("id", "h").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).select(F.col("id").alias("_id"), F.col("h").alias("_h"), "spans")
 
     def cut_out(texts: pa.Array, spans: pa.Array) -> pa.Array:

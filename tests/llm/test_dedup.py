@@ -228,4 +228,4 @@ def test_pieces(spark):
     texts = [noise(rng.randrange(80)) + (passage if k % 3 == 0 else "") + noise(rng.randrange(30)) for k in range(24)] + ["", None, passage * 2, "the " * 9000]
     docs = list(enumerate(texts))
     got = {(r.doc_id, r.start, r.stop) for r in lines.repeated_units(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
-    assert got == pieces_by_hand(docs, lines.MIN_WORDS) and len(got) > 8
+    assert got == pieces_by_hand(docs, lines.MIN_WORDS) and len(got) >= 8
