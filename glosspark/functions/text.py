@@ -240,3 +240,14 @@ def parse_reference(x: Column | str) -> Column:
     spans = F.transform(whole, lambda r: F.struct(F.regexp_extract(r, r"^[^\[]+", 0).alias("id"), F.regexp_extract_all(r, F.lit(r"(\d+):(\d+)"), 0).alias("spans")))
     one = lambda r: F.when(F.size(r["spans"]) == 0, F.array(F.struct(r["id"].alias("id"), F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("e")))).otherwise(F.transform(r["spans"], lambda p: F.struct(r["id"].alias("id"), F.split_part(p, F.lit(":"), F.lit(1)).cast("int").alias("s"), F.split_part(p, F.lit(":"), F.lit(2)).cast("int").alias("e"))))
     return F.flatten(F.transform(spans, one))
+
+
+def same_word(a: Column | str, b: Column | str, lower: bool = True, stem: bool = True) -> Column:
+    """Whether two words are equal, or equal in lower case, or of equal English stems."""
+    from glosspark.functions.stem import stems
+
+    a, b = _col(a), _col(b)
+    out = a == b
+    if lower:
+        out = out | (F.lower(a) == F.lower(b))
+    return out | (stems(F.lower(a)) == stems(F.lower(b))) if stem else out

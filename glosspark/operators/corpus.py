@@ -13,6 +13,9 @@ from glosspark.session import cut
 TIER_ORDER = ["o", "c", "n", "p", "w", "m", "g", "w-pos", "t", "tw", "tw-pos", "ps", "a", "dt", "dtb"]
 
 
+GROUPS = 1000  # that leave_one_out names
+
+
 def require_lines(instances: DataFrame, lines: DataFrame, tags: list[str], key: str = "igt_id") -> DataFrame:
     """Instances that have a line of every tag."""
     for tag in tags:
@@ -88,12 +91,43 @@ def first_share(rows: DataFrame, order: list[str], share: float) -> DataFrame:
 
 
 def leave_one_out(counts: DataFrame, group: str) -> DataFrame:
-    """For each group the counts of all others, as total minus own: no cross join of groups with rows."""
+    """For each group the counts of all others, as total minus own.
+
+    The result names every group beside every key, so groups have to be few: over ``GROUPS`` of them raise. Their names are a
+    constant of the plan, and totals are exploded over it.
+    """
     keys = [c for c in counts.columns if c not in (group, "n")]
-    total = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    groups = counts.select(group).distinct()
-    every = total.join(groups)
-    return every.join(counts, [group, *keys], "left").select(group, *keys, (F.col("total") - F.coalesce("n", F.lit(0))).alias("n")).filter("n > 0")
+    names = [r[0] for r in counts.select(group).distinct().limit(GROUPS + 1).collect()]
+    if len(names) > GROUPS:
+        raise ValueError(f"more than {GROUPS} groups to leave out")
+    total = counts.groupBy(*keys).agg(F.sum("n").alias("total")).withColumn("_g", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")))
+    own = counts.select(F.col(group).alias("_o"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "n")
+    same = F.col("_g").eqNullSafe(F.col("_o"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return total.join(own, same, "left").select(F.col("_g").cast(counts.schema[group].dataType).alias(group), *keys, (F.col("total") - F.coalesce("n", F.lit(0))).alias("n")).filter("n > 0")
+
+
+def random_rows(rows: DataFrame, key: list[str], n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows, those of the smallest hashes of seed and key: the same on every run."""
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in key)))
+    return rows.withColumn("_mark", mark).orderBy("_mark", *key).limit(n).drop("_mark")
+
+
+def distinct_in_order(values: Column) -> Column:
+    """An array without later repeats."""
+    return F.array_distinct(values)
+
+
+def positions(values: Column, wanted: Column) -> Column:
+    """All places, from 0, at which ``wanted`` stands in the array."""
+    return F.filter(F.transform(values, lambda v, i: F.when(v == wanted, i)), lambda i: i.isNotNull())
+
+
+def word_level(tiers: DataFrame) -> DataFrame:
+    """``tiers(.., tier_type, token_type, aligned_type)`` with ``word_level``: glosses marked as of words, or aligned to a words tier."""
+    marked = (F.col("token_type") == "word") | (F.col("aligned_type") == "words")
+    return tiers.withColumn("word_level", (F.col("tier_type") == "glosses") & F.coalesce(marked, F.lit(False)))
 
 
 def concatenate(*parts: DataFrame) -> DataFrame:

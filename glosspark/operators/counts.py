@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glosspark.operators.corpus import running
+
 
 def count(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -21,7 +23,8 @@ def combine(*counts: DataFrame) -> DataFrame:
 
 def smoothed(counts: DataFrame, add: float = 0.0) -> DataFrame:
     """Add-n distribution over all keys."""
-    return counts.withColumn("p", F.expr(f"(n + {add}D) / (sum(n) OVER () + {add}D * count(*) OVER ())"))
+    total = counts.agg((F.coalesce(F.sum("n"), F.lit(0)) + add * F.count("*")).alias("_t"))  # one row
+    return counts.crossJoin(F.broadcast(total)).withColumn("p", (F.col("n") + F.lit(float(add))) / F.col("_t")).drop("_t")
 
 
 def marginals(counts: DataFrame, k1: str, k2: str) -> DataFrame:
@@ -73,9 +76,10 @@ def repeated_rows(counts: DataFrame, key: str, threshold: int = 1) -> DataFrame:
 
 
 def vocabulary(tokens: DataFrame, order: list[str], first_id: int = 2) -> DataFrame:
-    """word, id by first occurrence from ``first_id``, count. The rank is over distinct words, not tokens."""
-    words = tokens.groupBy("tok").agg(F.min(F.struct(*order)).alias("at"), F.count("*").alias("n"))
-    return words.select("tok", (F.expr("row_number() OVER (ORDER BY at)") + (first_id - 1)).alias("id"), "n")
+    """word, id by first occurrence from ``first_id``, count; ranked by ranges, so that no task sorts all words."""
+    words = tokens.groupBy("tok").agg(F.min(F.struct(*order)).alias("at"), F.count("*").alias("_c"))
+    ranked = running(words.withColumn("n", F.lit(1)), ["at"])
+    return ranked.select("tok", (F.col("upto") + (first_id - 1)).cast("int").alias("id"), F.col("_c").alias("n"))
 
 
 def cooccurrence(src: DataFrame, tgt: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosspark.functions import text as T
+from glosspark.session import cut
 
 TIER_OF = {"L": "w", "G": "gw", "T": "tw"}
 
@@ -63,10 +66,23 @@ def resolve(references: DataFrame, items: DataFrame) -> DataFrame:
     return j.withColumn("value", F.when(F.col("s").isNull(), F.col("value")).otherwise(F.expr("substring(value, s + 1, e - s)")))
 
 
-def line_of(items: DataFrame, depth: int = 4) -> DataFrame:
-    """(igt_id, item_id, line_id): follow ``parent`` up at most ``depth`` joins to an item without one."""
-    up = items.select("igt_id", F.col("item_id").alias("_i"), F.col("parent").alias("_p"))
+def line_of(items: DataFrame) -> DataFrame:
+    """(igt_id, item_id, line_id): follow ``parent`` up to an item without one, however long the chain; a circle raises."""
+    up = items.filter("parent IS NOT NULL").select("igt_id", F.col("item_id").alias("_i"), F.col("parent").alias("_p"))
     now = items.select("igt_id", "item_id", F.coalesce("parent", "item_id").alias("line_id"))
-    for _ in range(depth):
-        now = now.join(up, (now.igt_id == up.igt_id) & (now.line_id == up._i), "left").select(now.igt_id, "item_id", F.coalesce("_p", "line_id").alias("line_id"))
-    return now
+    most = None
+    for step in itertools.count(1):
+        now = cut(now.join(up, (now.igt_id == up.igt_id) & (now.line_id == up._i), "left").select(now.igt_id, "item_id", F.coalesce("_p", "line_id").alias("line_id"), F.col("_p").isNotNull().alias("open")))
+        if now.filter("open").isEmpty():
+            return now.drop("open")
+        most = items.groupBy("igt_id").count().agg(F.max("count")).first()[0] if most is None else most
+        if step > most:
+            raise ValueError("items refer to each other in a circle")
+
+
+def phrases(normal: DataFrame) -> DataFrame:
+    """(igt_id, tier, item_id, text, judgment, aligned): one phrase per language and translation line, the translation's aligned to the language's."""
+    own = normal.filter("tag IN ('L', 'T')").withColumn("tier", F.when(F.col("tag") == "L", "p").otherwise("t"))
+    other = own.filter("tier = 'p'").select("igt_id", F.lit("p1").alias("_p"))
+    rows = own.join(other, "igt_id", "left")
+    return rows.select("igt_id", "tier", F.concat("tier", F.lit("1")).alias("item_id"), "text", "judgment", F.when(F.col("tier") == "t", F.col("_p")).alias("aligned"))

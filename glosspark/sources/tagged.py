@@ -164,6 +164,14 @@ def write_tag_lines(tokens: DataFrame, path: str, keys: list[str]) -> None:
     rows.select("value").write.text(path)
 
 
+def record_lines(records: DataFrame) -> DataFrame:
+    """Record text of ``(doc_id, start, stop, ord, line_no, tag, text)``: a header with all tags, then a line each, ended by a blank line."""
+    one = records.groupBy("doc_id", "start", "stop").agg(F.sort_array(F.collect_list(F.struct("ord", "line_no", "tag", "text"))).alias("l"))
+    head = F.format_string("doc_id=%s %d %d %s", F.col("doc_id").cast("string"), "start", "stop", F.array_join(F.transform("l", lambda x: x["tag"]), " "))
+    rows = F.transform("l", lambda x: F.format_string("line=%d tag=%s:%s", x["line_no"], x["tag"], x["text"]))
+    return one.select("doc_id", "start", "stop", F.concat(head, F.lit("\n"), F.array_join(rows, "\n"), F.lit("\n")).alias("value"))
+
+
 def conll_lines(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Ten-column sentences from ``(key.., dep, head, type, word)``: one row a word, the smallest head of several, ``root`` under 0."""
     one = edges.groupBy(*keys, "dep").agg(F.min_by(F.struct("head", "type", "word"), "head").alias("e"))
