@@ -86,9 +86,16 @@ def _lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32()), pa.array(values))
 
 
+PLACES = "anchor array<bigint>, digest array<bigint>, start array<int>, windows array<int>, times array<int>"
+
+
 def context_lists(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH) -> dict:
+    """Each row's contexts; equal ones that follow each other (text of a short period) are one entry with their number."""
     c, n = contexts_of(offsets, data, length, gram_of(length)), len(offsets) - 1
-    return {k: _lists(c[k].astype(t), c["row"], n) for k, t in (("anchor", np.int64), ("digest", np.int64), ("start", np.int32), ("windows", np.int32))}
+    at = np.flatnonzero(np.concatenate([[True], np.any([c[k][1:] != c[k][:-1] for k in ("row", "anchor", "digest")], axis=0)])[: len(c["row"])])
+    c = {k: v[at] for k, v in c.items()} | {"times": np.diff(np.append(at, len(c["row"])))}
+    kinds = (("anchor", np.int64), ("digest", np.int64), ("start", np.int32), ("windows", np.int32), ("times", np.int32))
+    return {k: _lists(c[k].astype(t), c["row"], n) for k, t in kinds}
 
 
 def common_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -352,24 +359,26 @@ def repeated_spans(docs: DataFrame, text: str = "text", hot: int = HOT, length:
     """
     set_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
-    lists = text_udf(lambda o, d: context_lists(o, d, length), "anchor array<bigint>, digest array<bigint>, start array<int>, windows array<int>", 1 << 20)
+    lists = text_udf(lambda o, d: context_lists(o, d, length), PLACES, 1 << 20)
     found = texts.select("key", lists("text").alias("c"))
     # read twice below: finding the anchors again costs less than keeping a row for each of them
-    found = found.select("key", F.explode(F.arrays_zip("c.anchor", "c.digest", "c.start", "c.windows")).alias("x")).select("key", "x.*")
-    twice = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    found = found.select("key", F.explode(F.arrays_zip("c.anchor", "c.digest", "c.start", "c.windows", "c.times")).alias("x")).select("key", "x.*")
+    twice = found.groupBy("anchor").agg(F.sum("times").alias("n")).filter("n > 1").select("anchor")
     # occurrences are gathered in salted lists, dealt by context and salt: one in a third of all texts gives LIST entries a row,
     # and a join that is followed by a deal of its own is one that the engine may split where an anchor is hot
     salts = max(64, docs.count() // LIST)
     near = F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")
     met = found.join(twice, "anchor", "left_semi").withColumn("salt", near).repartition("anchor", "digest", "salt")
-    known = cut(met.groupBy("anchor", "digest", "salt").agg(F.count("*").alias("n"), F.collect_set(F.struct("key", "start", "windows")).alias("places")))
+    known = cut(met.groupBy("anchor", "digest", "salt").agg(F.sum("times").alias("n"), F.collect_set(F.struct("key", "start", "windows", "times")).alias("places")))
     distinct = cut(known.groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.min(F.array_min("places")).alias("at")))
     # a list of two is a repeat by itself; only lists of one are looked up
     alone = known.filter("n = 1").select("anchor", "digest", "places").join(distinct.filter("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")
-    place = [F.col("p.key").alias("key"), F.col("p.start").alias("s"), (F.col("p.start") + F.col("p.windows") + (length - 1)).alias("e")]
+    place = [F.col("p.key").alias("key"), F.col("p.start").alias("s"), (F.col("p.start") + F.col("p.windows") * F.col("p.times") + (length - 1)).alias("e")]
     whole = known.filter("n > 1").select(F.explode("places").alias("p")).unionByName(alone.select(F.col("places")[0].alias("p"))).select(*place, F.lit(0).alias("kind"))
-    if first:
-        whole = whole.unionByName(distinct.filter("n > 1").select(F.col("at").alias("p")).select(*place, F.lit(1).alias("kind")))
+    if first:  # the smallest place is no repeat, but what follows it in a row is
+        least = distinct.filter("n > 1").select(F.col("at").alias("p"))
+        whole = whole.unionByName(least.select(*place, F.lit(1).alias("kind")))
+        whole = whole.unionByName(least.filter("p.times > 1").select(place[0], (F.col("p.start") + F.col("p.windows")).alias("s"), place[2], F.lit(2).alias("kind")))
     mixed = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max((F.col("n") == 1).cast("int")).alias("open")).filter("kinds > 1" if first else "kinds > 1 AND open = 1").select("anchor", "kinds")
     asked = distinct.join(mixed, "anchor").select("anchor", F.col("at.key").alias("key"), F.col("at.start").alias("start"), F.col("at.windows").alias("windows"), (F.col("n") == 1).alias("once"), (F.col("kinds") > hot).alias("hot"))
     asked = asked.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "windows", "once", "hot")).alias("asked"))

@@ -61,7 +61,7 @@ def texts_with_repeats():
     noise = lambda n: "".join(rng.choice("abcdefg é\n") for _ in range(n))
     passage, doc = noise(900), noise(2500)
     out = [noise(700) + passage + noise(300) for _ in range(6)] + [doc, doc, doc[:1200] + "#" + doc[1200:], passage * 2]
-    return out + [None, "", "a" * 3000, "a" * 399, "x" * 400, "ab" * 700, noise(50)]
+    return out + [None, "", "a" * 3000, "a" * 399, "x" * 400, "ab" * 700, noise(50), noise(90) + "Is it. " * 300 + noise(90), "Is it. " * 120 + noise(500)]
 
 
 def test_suffix_dedup(spark):
