@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glosspark.llm.rows import field, packed, unpacked
 from glosspark.session import cut
 
 WEIGHTS = (5, 2, 1)
@@ -97,21 +98,26 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5
     return cut(out.select("_source", "source_size", "target", "whole", "p", "edge", "last", F.concat(F.coalesce("fill", none), F.coalesce("close", none)).alias("fill")))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 9) -> DataFrame:
-    """``docs`` with size, source_size, target, copies and taken (= copies * size)."""
-    rows = cut(docs.select("source", word_count(F.col("text")).alias("size"), rank_key(seed).alias("key")))
-    chosen = plan(rows, weights, share, cap)
-    keyed = docs.drop(*KEYS).withColumn("size", word_count(F.col("text"))).withColumn("key", rank_key(seed))
+def _mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 9) -> DataFrame:
+    """``(row, text)`` of ``docs`` with KEYS."""
+    named = packed(docs).select("row", "text", field(docs, "doc_id").alias("doc_id"), field(docs, "source").alias("source"))
+    keyed = named.withColumn("size", word_count(F.col("text"))).withColumn("key", rank_key(seed))
+    chosen = plan(cut(keyed.select("source", "size", "key")), weights, share, cap)
     out = _ranked(_with_source(keyed, chosen))
     more = (F.col("p") > 0) & (F.col("edge").isNull() | (F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & F.col("last").isNotNull() & (F.struct("q", "key") <= F.col("last"))) | F.array_contains("fill", F.col("key")))
     out = out.withColumn("copies", (F.col("whole") + F.coalesce(more, F.lit(False)).cast("int")).cast("bigint")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*(c for c in docs.columns if c not in KEYS), *KEYS)
+    return out.select("row", "text", *KEYS)
+
+
+def mix(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` with size, source_size, target, copies and taken (= copies * size)."""
+    return _mixed(docs, **settings).select(*unpacked(docs, without=KEYS), *KEYS)
 
 
 def repeat_copies(docs: DataFrame, **settings) -> DataFrame:
     """The mixed corpus itself: every document as often as the mix takes it, with the columns of ``docs``."""
-    mixed = mix(docs, **settings).filter("copies > 0")
-    return mixed.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    mixed = _mixed(docs, **settings).filter("copies > 0")
+    return mixed.select("row", "text", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("i")).select(*unpacked(docs))
 
 
 ORACLE = r"""

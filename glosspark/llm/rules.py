@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glosspark.llm.rows import field, packed, unpacked
 from glosspark.session import cut
 
 # fixed values: frequent function words
@@ -92,15 +93,15 @@ def distance(counts: str, reference: str) -> Column:
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` without ``text``, with the base counts, base_failed, the two distances and kept."""
-    rows = cut(measures(docs, text, lang))
+    rows = cut(measures(packed(docs, text).withColumn("lang", field(docs, lang))))
     sums = [F.sum(F.col("_chars")[i]).alias(f"c{i}") for i in range(7)] + [F.sum(F.get("_common", F.lit(i))).alias(f"w{i}") for i in range(SLOTS + 1)]
-    refs = rows.filter("NOT base_failed").groupBy(F.col(lang).alias("_lang")).agg(*sums)
+    refs = rows.filter("NOT base_failed").groupBy(F.col("lang").alias("_lang")).agg(*sums)
     refs = refs.select("_lang", F.array(*(F.col(f"c{i}") for i in range(7))).alias("_char_ref"), F.when(F.col("w0").isNotNull(), F.array(*(F.col(f"w{i}") for i in range(SLOTS + 1)))).alias("_word_ref"))
-    out = rows.join(refs, F.col(lang).eqNullSafe(F.col("_lang")), "left")
+    out = rows.join(refs, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     out = out.withColumn("char_distance", distance("_chars", "_char_ref")).withColumn("word_distance", distance("_common", "_word_ref"))
     chars = F.expr("aggregate(_chars, 0L, (a, x) -> a + x)")
     odd = ((chars >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR)) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORD))
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).select(*(F.col(c) for c in docs.columns if c not in (text, *OUTPUTS)), *OUTPUTS)
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).select(*unpacked(docs, text, without=(text, *OUTPUTS)), *OUTPUTS)
 
 
 def oracle() -> str:
