@@ -66,12 +66,6 @@ def split(sizes: DataFrame, order: list[str], train: float = 0.8, dev: float = 0
     return rows.withColumn("part", part).drop("_n")
 
 
-def prefix_curve(rows: DataFrame, ord_column: str, step: int, most: int) -> DataFrame:
-    """Rows repeated for every prefix length step, 2 * step, ... up to ``most`` that they fall into; a row's copies are bounded by most / step."""
-    first = (F.floor((F.col(ord_column) - 1) / step) + 1) * step
-    return rows.filter(F.col(ord_column) <= most).withColumn("size", F.explode(F.sequence(first.cast("int"), F.lit(most), F.lit(step))))
-
-
 def whole_curve(rows: DataFrame, order: list[str], step: int, value: str) -> DataFrame:
     """(size, sentences, total): rows and the sum of ``value`` over each prefix of step, 2 * step, ... rows; the last size holds all.
 

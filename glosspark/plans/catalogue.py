@@ -368,20 +368,10 @@ def aer_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("method", "matches", "test", "gold", F.round("aer", 8).alias("aer"), F.round("precision", 8).alias("precision"))
 
 
-@query(f"WITH {_BITEXT}, v AS (SELECT tok, row_number() OVER (ORDER BY min((conv_id, turn, idx))) + 1 AS id FROM (SELECT * FROM s WHERE idx <= 3) GROUP BY tok), u AS (SELECT tok, row_number() OVER (ORDER BY min((conv_id, turn, idx))) + 1 AS id FROM (SELECT * FROM t WHERE idx <= 3) GROUP BY tok), e AS (SELECT DISTINCT conv_id, turn, id FROM s JOIN v USING (tok) WHERE idx <= 3), f AS (SELECT DISTINCT conv_id, turn, id FROM t JOIN u USING (tok) WHERE idx <= 3) SELECT DISTINCT e.id::BIGINT AS src_id, f.id::BIGINT AS tgt_id FROM e JOIN f USING (conv_id, turn) UNION SELECT DISTINCT 0, id FROM f")
-def cooc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Co-occurring ids of the words that open each side (its first three are the sentence here)."""
-    return _cooc(*(side.filter("idx <= 3") for side in bitext(spark, sf_dir)))
-
-
 @query(f"WITH {_BITEXT}, v AS (SELECT tok, row_number() OVER (ORDER BY min((conv_id, turn, idx))) + 1 AS id FROM s GROUP BY tok), u AS (SELECT tok, row_number() OVER (ORDER BY min((conv_id, turn, idx))) + 1 AS id FROM t GROUP BY tok), e AS (SELECT DISTINCT conv_id, turn, id FROM s JOIN v USING (tok)), f AS (SELECT DISTINCT conv_id, turn, id FROM t JOIN u USING (tok)) SELECT DISTINCT e.id::BIGINT AS src_id, f.id::BIGINT AS tgt_id FROM e JOIN f USING (conv_id, turn) UNION SELECT DISTINCT 0, id FROM f")
-def cooc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cooc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Co-occurring ids of all words of both sides."""
-    return _cooc(*bitext(spark, sf_dir))
-
-
-def _cooc(*sides: DataFrame) -> DataFrame:
-    coded = [side.join(counts.vocabulary(side, [*PAIR, "idx"]), "tok").select(*PAIR, "id") for side in sides]
+    coded = [side.join(counts.vocabulary(side, [*PAIR, "idx"]), "tok").select(*PAIR, "id") for side in bitext(spark, sf_dir)]
     out = counts.cooccurrence(*coded, PAIR)
     return out.select(F.col("src_id").cast("bigint").alias("src_id"), F.col("tgt_id").cast("bigint").alias("tgt_id"))
 
@@ -427,11 +417,12 @@ def columnar_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(nxt, "item_id").select("item_id", F.explode(T.strict_columns("text", "below")).alias("p")).select("item_id", F.col("p.src").cast("int").alias("src"), F.col("p.tgt").cast("int").alias("tgt"))
 
 
-@query("WITH o AS (SELECT l_orderkey AS k, list({'s': l_linenumber::INT, 'e': (l_linenumber + l_quantity)::INT}) AS x FROM lineitem GROUP BY 1) SELECT count(*) FILTER (len(list_filter(x, lambda b: len(list_filter(x[1:1], lambda a: b.s >= a.s AND b.e <= a.e)) = 0)) = 0) AS n FROM (SELECT k, list_sort(x) AS x FROM o)")
+@query("WITH o AS (SELECT l_orderkey AS k, list({'s': l_linenumber::INT, 'e': (l_linenumber + l_quantity)::INT}) AS x FROM lineitem GROUP BY 1) SELECT count(*) FILTER (len(list_filter(x, lambda b: len(list_filter(x, lambda a, i: i % 2 = 1 AND b.s >= a.s AND b.e <= a.e)) = 0)) = 0) AS n FROM (SELECT k, list_sort(x) AS x FROM o)")
 def span_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").cast("int").alias("s"), (F.col("l_linenumber") + F.col("l_quantity")).cast("int").alias("e"))))
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(spans.alias("x"))
-    return rows.agg(F.count_if(T.span_contains(F.slice("x", 1, 1), F.col("x"))).alias("n"))
+    every_other = F.filter("x", lambda a, i: i % 2 == 0)
+    return rows.agg(F.count_if(T.span_contains(every_other, F.col("x"))).alias("n"))
 
 
 # --- evaluation --------------------------------------------------------------------------------------------------------
@@ -490,16 +481,9 @@ def split_train_dev_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.split(_sizes(spark, sf_dir), ["o_orderkey"]).select("o_orderkey", "part")
 
 
-@query("SELECT s.size::INT AS size, count(*) AS sentences, sum(n_chars)::BIGINT AS chars FROM (SELECT row_number() OVER (ORDER BY doc_id) AS ord, n_chars FROM documents) d JOIN (SELECT unnest(range(50, 501, 50)) AS size) s ON ord <= s.size GROUP BY 1")
-def data_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy("doc_id").limit(500)  # the curve's last point
-    rows = docs.withColumn("ord", F.expr("row_number() OVER (ORDER BY doc_id)"))
-    return corpus.prefix_curve(rows, "ord", 50, 500).groupBy("size").agg(F.count("*").alias("sentences"), F.sum("n_chars").alias("chars"))
-
-
 @query("WITH d AS (SELECT (row_number() OVER (ORDER BY doc_id) + 49) // 50 * 50 AS size, n_chars FROM documents), s AS (SELECT size, count(*) AS n, sum(n_chars) AS c FROM d GROUP BY size) SELECT size::INT AS size, (sum(n) OVER (ORDER BY size))::BIGINT AS sentences, (sum(c) OVER (ORDER BY size))::BIGINT AS chars FROM s")
-def data_curve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """data_curve up to all documents, the last partial step included."""
+def data_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 50 documents up to all of them, the last partial step included."""
     return corpus.whole_curve(table(spark, sf_dir, "documents"), ["doc_id"], 50, "n_chars").withColumnRenamed("total", "chars")
 
 
@@ -610,13 +594,13 @@ def ibm1_em(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def hmm_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _em_bitext(spark, sf_dir)
-    table_, jumps = em.hmm(b, em.ibm1(b, 2), 1)
+    table_, jumps = em.hmm(b, em.ibm1(b))
     return em.viterbi_hmm(b, table_, jumps)
 
 
 @query()
 def diagonal_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return em.diagonal(_em_bitext(spark, sf_dir), 2)
+    return em.diagonal(_em_bitext(spark, sf_dir))
 
 
 @query()
