@@ -22,6 +22,7 @@ def duck():
 
 def rows(df):
     names = sorted(df.columns)
+    df = df.astype({c: "float64" for c in names if str(df[c].dtype) in ("Int32", "Int64")})  # as Spark's frames hold integers with nulls
     flat = lambda v: None if v is None or v != v else round(v, 6) if isinstance(v, float) else v
     return names, sorted(repr([flat(x.item() if hasattr(x, "item") else x) for x in r]) for r in df[names].itertuples(index=False, name=None))
 
