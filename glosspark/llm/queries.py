@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosspark.llm import flac, langid, lines, merkle, mixing, pieces, quality, rules, simhash, suffix, toxicity
+from glosspark.llm import divergence, flac, langid, lines, merkle, minhash, mixing, pieces, quality, rules, simhash, suffix, toxicity
 from glosspark.llm.samples import held_out
 
 
@@ -75,9 +75,17 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.report(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_suffix, op3_langid, op4_simhash, op5_toxicity, op6_sentencepiece, op7_rules, op8_lines, op8_lines_all, op9_mixing, op10_flac, op13_merkle)}
-ORACLES: dict[str, str] = {"op7_rules": rules.oracle(), "op8_lines": lines.ORACLE, "op8_lines_all": lines.ORACLE_ALL, "op9_mixing": mixing.ORACLE, "op13_merkle": merkle.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_suffix, op3_langid, op4_simhash, op5_toxicity, op6_sentencepiece, op7_rules, op8_lines, op8_lines_all, op9_mixing, op10_flac, op11_divergence, op12_minhash, op13_merkle)}
+ORACLES: dict[str, str] = {"op7_rules": rules.oracle(), "op8_lines": lines.ORACLE, "op8_lines_all": lines.ORACLE_ALL, "op9_mixing": mixing.ORACLE, "op11_divergence": divergence.ORACLE, "op13_merkle": merkle.ORACLE}
