@@ -1,6 +1,6 @@
 r"""Document fingerprints by one-permutation MinHash, in DataFrame functions only.
 
-A text's shingles are its runs of ``SHINGLE`` = 5 words ``[^\x20\x09-\x0D]+``, lower-cased; a text of fewer words has one
+A text's shingles are its runs of ``SHINGLE`` = 5 words ``[^\x20\x09-\x0D]+``, A-Z lower-cased; a text of fewer words has one
 shingle of all its words. Each shingle is hashed once to 64 bits (XXH64 of its words' XXH64 values, seed 42): the upper 8 bits name one of
 ``BINS`` = 256 bins, and a bin holds the least of the other 56. Empty bins are filled by optimal densification: a bin tries others in a
 random order of its own, the same for all texts, and copies the first that is not empty. That order is ``ATTEMPTS`` draws by hash; a text so short
@@ -29,7 +29,7 @@ from glosspark.session import cut
 SHINGLE = 5
 BINS, BITS = 256, 8
 ATTEMPTS = 12
-BREAK = r"[\x20\x09-\x0D]+"
+FROM, TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\f\r", "abcdefghijklmnopqrstuvwxyz     "  # A-Z, and all white space to blanks
 LOW = (1 << 56) - 1  # below the bin's bits; as a value the mark of an empty bin
 CHANCE = 1 / (1 << BITS)
 KEY = ["k", "h", "n"]
@@ -41,7 +41,7 @@ def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
     A step that reads an array more than once is a projection of its own, which keeps Catalyst from working the array out for each element.
     """
     own = rows.columns
-    words = F.array_remove(F.split(F.lower(F.col(text)), BREAK), "")
+    words = F.array_remove(F.split(F.translate(F.col(text), FROM, TO), " "), "")
     rows = rows.select("*", F.transform(words, lambda w: F.xxhash64(w)).alias("_w"))
     gram = ", ".join(f"_w[i + {k}]" for k in range(SHINGLE))
     grams = f"CASE WHEN size(_w) >= {SHINGLE} THEN transform(sequence(0, size(_w) - {SHINGLE}), i -> xxhash64({gram})) WHEN size(_w) > 0 THEN array(xxhash64(_w)) ELSE CAST(array() AS ARRAY<BIGINT>) END"
@@ -51,9 +51,9 @@ def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
     rows = rows.select(*own, F.expr(f"transform(_least, x -> CASE WHEN (x & {LOW}L) <> {LOW}L THEN x END)").alias("_v"), F.expr(f"filter(_least, x -> (x & {LOW}L) <> {LOW}L)").alias("_full"))
     draws = ", ".join(f"_v[CAST(pmod(xxhash64(i, {a}), {BINS}) AS INT)]" for a in range(ATTEMPTS))
     rest = "array_min(transform(_full, x -> struct(xxhash64(i, shiftright(x, 56)) AS o, x AS x))).x"
-    rows = rows.select(*own, "_full", F.expr(f"CASE WHEN size(_full) > 0 THEN transform(_v, (x, i) -> coalesce(x, {draws}, {rest})) END").alias("_bins"))
+    rows = rows.select(*own, F.expr(f"CASE WHEN size(_full) > 0 THEN transform(_v, (x, i) -> coalesce(x, {draws}, {rest})) END").alias("_bins"))
     packed = f"transform(sequence(0, {BINS * BITS // 64 - 1}), j -> aggregate(slice(_bins, {64 // BITS} * j + 1, {64 // BITS}), 0L, (a, x) -> shiftleft(a, {BITS}) | (x & {(1 << BITS) - 1})))"
-    return rows.select(*own, F.expr(f"CASE WHEN size(_full) > 0 THEN {packed} ELSE CAST(array() AS ARRAY<BIGINT>) END").alias(name))
+    return rows.select(*own, F.expr(f"CASE WHEN size(_bins) > 0 THEN {packed} ELSE CAST(array() AS ARRAY<BIGINT>) END").alias(name))
 
 
 def likeness(a: str, b: str) -> Column:

@@ -32,7 +32,8 @@ def integers(*values):
 
 
 def shingles(text):
-    words = [w for w in re.split(r"[\x20\x09-\x0d]+", (text or "").lower()) if w]
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = [w for w in re.split(r"[\x20\x09-\x0d]+", low) if w]
     return [tuple(words[i : i + 5]) for i in range(len(words) - 4)] if len(words) >= 5 else [tuple(words)][: len(words)]
 
 
@@ -84,7 +85,7 @@ def got(df):
 
 
 def words(rng, n, k=400):
-    return " ".join(f"W{rng.randint(0, k)}" + rng.choice(["", "", "é", "\t", "\n", " "]) for _ in range(n))
+    return " ".join(f"W{rng.randint(0, k)}" + rng.choice(["", "", "é", "É", "\t", "\n", " "]) for _ in range(n))
 
 
 def test_report(spark):
