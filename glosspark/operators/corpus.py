@@ -46,12 +46,20 @@ def running(sizes: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:
     """``sizes(.., n)`` with ``upto``, the running sum in ``order``, without sorting all rows in one task.
 
     Ranges of ``order`` are dealt out by sampling; each range sums its own rows, and the sums of the ranges before (one row
-    per range) are added.
+    per range) are added. A null size counts as 0. Rows travel as one struct, so no other column's name can clash; a column ``upto``
+    is replaced.
     """
-    ranged = cut(sizes.repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id()))  # read twice, and each sampling has its own ranges
-    own = F.expr(f"sum(n) OVER (PARTITION BY _p ORDER BY {', '.join(order)} ROWS UNBOUNDED PRECEDING)")
-    totals = ranged.groupBy("_p").agg(F.sum("n").alias("_t")).withColumn("_before", F.expr("coalesce(sum(_t) OVER (ORDER BY _p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
-    return ranged.withColumn("_own", own).join(F.broadcast(totals.select("_p", "_before")), "_p").withColumn("upto", F.col("_own") + F.col("_before")).drop("_p", "_own", "_before")  # at most ``buckets`` rows
+    return _running(sizes, F.col("n"), order, buckets).select(*(F.col(f"row.`{c}`").alias(c) for c in sizes.columns if c != "upto"), F.col("total").alias("upto"))
+
+
+def _running(rows: DataFrame, size: Column, order: list[str], buckets: int = 64) -> DataFrame:
+    """``(row, total)``: all columns of ``rows`` in a struct, and the running sum of ``size``."""
+    places = [f"o{i}" for i in range(len(order))]
+    packed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.coalesce(size, F.lit(0)).alias("size"), *(F.col(c).alias(p) for c, p in zip(order, places)))
+    ranged = cut(packed.repartitionByRange(buckets, *places).withColumn("p", F.spark_partition_id()))  # read twice, and each sampling has its own ranges
+    own = F.expr(f"sum(size) OVER (PARTITION BY p ORDER BY {', '.join(places)} ROWS UNBOUNDED PRECEDING)")
+    totals = ranged.groupBy("p").agg(F.sum("size").alias("t")).withColumn("before", F.expr("coalesce(sum(t) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
+    return ranged.withColumn("own", own).join(F.broadcast(totals.select("p", "before")), "p").select("row", (F.col("own") + F.col("before")).alias("total"))  # at most ``buckets`` rows
 
 
 def split(sizes: DataFrame, order: list[str], train: float = 0.8, dev: float = 0.1) -> DataFrame:
@@ -59,11 +67,11 @@ def split(sizes: DataFrame, order: list[str], train: float = 0.8, dev: float = 0
 
     The instance at a boundary belongs to the later part.
     """
-    total = sizes.agg(F.sum("n").alias("_n"))
-    rows = running(sizes, order).crossJoin(F.broadcast(total))  # one row
-    edge = lambda p: F.bround(F.lit(p) * F.col("_n")).cast("bigint")
-    part = F.when(F.col("upto") < edge(train), "train").when(F.col("upto") < edge(train + dev), "dev").otherwise("test")
-    return rows.withColumn("part", part).drop("_n")
+    whole = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("whole"))
+    rows = _running(sizes, F.col("n"), order).crossJoin(F.broadcast(whole))  # one row
+    edge = lambda p: F.bround(F.lit(p) * F.col("whole")).cast("bigint")
+    part = F.when(F.col("total") < edge(train), "train").when(F.col("total") < edge(train + dev), "dev").otherwise("test")
+    return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in sizes.columns if c not in ("upto", "part")), F.col("total").alias("upto"), part.alias("part"))
 
 
 def whole_curve(rows: DataFrame, order: list[str], step: int, value: str) -> DataFrame:
@@ -80,8 +88,8 @@ def whole_curve(rows: DataFrame, order: list[str], step: int, value: str) -> Dat
 
 def first_share(rows: DataFrame, order: list[str], share: float) -> DataFrame:
     """The first round(share * n) rows."""
-    counted = running(rows.withColumn("n", F.lit(1)), order).crossJoin(F.broadcast(rows.agg(F.count("*").alias("_n"))))
-    return counted.filter(F.col("upto") <= F.bround(F.lit(share) * F.col("_n"))).drop("_n", "n", "upto")
+    counted = _running(rows, F.lit(1), order).crossJoin(F.broadcast(rows.agg(F.count("*").alias("whole"))))  # one row
+    return counted.filter(F.col("total") <= F.bround(F.lit(share) * F.col("whole"))).select("row.*")
 
 
 def leave_one_out(counts: DataFrame, group: str) -> DataFrame:
@@ -129,9 +137,10 @@ def concatenate(*parts: DataFrame) -> DataFrame:
 
 
 def chunks(rows: DataFrame, order: list[str], number: int) -> DataFrame:
-    """Contiguous chunks of nearly equal size, numbered from 0."""
-    counted = running(rows.withColumn("n", F.lit(1)), order).crossJoin(F.broadcast(rows.agg(F.count("*").alias("_n"))))
-    return counted.withColumn("chunk", F.least(F.floor((F.col("upto") - 1) * number / F.col("_n")), F.lit(number - 1)).cast("int")).drop("_n", "n", "upto")
+    """Contiguous chunks of nearly equal size, numbered from 0; a column ``chunk`` is replaced."""
+    counted = _running(rows, F.lit(1), order).crossJoin(F.broadcast(rows.agg(F.count("*").alias("whole"))))  # one row
+    chunk = F.least(F.floor((F.col("total") - 1) * number / F.col("whole")), F.lit(number - 1)).cast("int")
+    return counted.select(*(F.col(f"row.`{c}`").alias(c) for c in rows.columns if c != "chunk"), chunk.alias("chunk"))
 
 
 def tier_rank(tier_id: Column) -> Column:

@@ -67,6 +67,29 @@ def pairs(item_table: DataFrame, tier_type: str = "bilingual-alignments") -> Dat
     return rows.select("igt_id", "tier_id", F.col("source").alias("source"), F.explode(F.split("target", ",")).alias("target"))
 
 
+ITEM_COLUMNS = ("_id", *(a.strip("`") for a in ATTRIBUTES), "_VALUE")
+TIER_COLUMNS = ("_id", "_type", "_state", "_alignment", "_segmentation", "_content", "_source", "_target", "_dep", "_head", "_children")
+
+
+def with_tier(igt: DataFrame, item_table: DataFrame, kind: str, method: str | None = None, **attributes: str) -> DataFrame:
+    """``igt`` with one more tier from ``item_table(igt_id, tier_id, idx, item_id, text, ..)``, whose further columns are item attributes.
+
+    A tier of that id is replaced; instances without items keep their tiers.
+    """
+    known = {c.strip("`").removeprefix("_").replace("-", "_"): c for c in ITEM_COLUMNS} | {"item_id": "_id", "text": "_VALUE"}
+    columns = {known[c]: c for c in item_table.columns if c in known and c not in ("id", "VALUE")}
+    value = lambda name, given: F.col(given[name]).cast("string") if name in given else F.lit(None).cast("string")
+    item = F.struct("idx", F.struct(*(value(c, columns).alias(c) for c in ITEM_COLUMNS)).alias("x"))
+    held = item_table.groupBy(F.col("igt_id").alias("_id"), "tier_id").agg(F.transform(F.sort_array(F.collect_list(item)), lambda i: i["x"]).alias("items"))
+    given = {"_type": kind} | {f"_{k}": v for k, v in attributes.items()}
+    fixed = [F.col("tier_id").alias("_id") if c == "_id" else F.lit(given.get(c)).cast("string").alias(c) for c in TIER_COLUMNS]
+    meta = F.from_json(F.to_json(F.array(F.struct(F.lit("provenance").alias("_type"), F.array(F.struct(F.lit("provenance").alias("_type"), F.lit(method).alias("_method"))).alias("meta")))), META) if method else F.lit(None).cast(META)
+    tiers_of = held.select(F.col("_id").alias("_of"), F.struct(*fixed, meta.alias("metadata"), F.col("items").cast(ITEM).alias("item")).cast(TIER[6:-1]).alias("t"))
+    out = igt.join(tiers_of, igt["_id"] == F.col("_of"), "left")
+    mine = F.filter(F.coalesce("tier", F.array().cast(TIER)), lambda t: t["_id"] != F.col("t")["_id"])
+    return out.withColumn("tier", F.when(F.col("t").isNull(), F.col("tier")).otherwise(F.concat(mine, F.array("t")))).drop("t", "_of")
+
+
 def write(igt: DataFrame, path: str) -> None:
     """Instances back to XML, one file a partition."""
     keep = [c for c in ("_id", "_doc-id", "_line-range", "_tag-types", "metadata", "tier") if c in igt.columns]

@@ -1,6 +1,7 @@
 """Readers and writers of line-structured corpora: tagged text, CoNLL, bitext, aligner files, instance records.
 
-Readers take the whole file per row only where a record spans lines, and split it in Spark; nothing reads a file on the driver.
+Readers take files in byte ranges (``split``), so that one large file is many tasks, and put lines and blocks together across ranges;
+``whole``, ``blocks`` and ``lines`` are for texts that are in a column already. Nothing reads a file on the driver.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosspark.functions import text as T
+from glosspark.sources import split
 
 
 def whole(spark: SparkSession, path: str, encoding: str = "UTF-8", glob: str | None = None) -> DataFrame:
@@ -34,13 +36,13 @@ def lines(files: DataFrame) -> DataFrame:
 
 def read_slashtags(spark: SparkSession, path: str, delimiter: str = "/") -> DataFrame:
     """(file, sent, idx, form, label), a sentence per line; the last delimiter splits a token."""
-    rows = lines(whole(spark, path)).select("file", F.col("line").alias("sent"), F.posexplode(T.tagged("text", delimiter)).alias("i", "t"))
+    rows = split.lines(spark, path).select("file", F.col("line").cast("int").alias("sent"), F.posexplode(T.tagged("text", delimiter)).alias("i", "t"))
     return rows.select("file", "sent", (F.col("i") + 1).alias("idx"), "t.form", "t.label")
 
 
 def read_conll(spark: SparkSession, path: str) -> DataFrame:
     """(file, sent, idx, form, lemma, label, fine, feats, head, deprel); the last sentence needs no blank line behind it."""
-    rows = blocks(whole(spark, path)).select("file", F.col("block").alias("sent"), F.explode(F.split("text", r"\r?\n")).alias("row"))
+    rows = split.blocks(split.lines(spark, path)).select("file", F.col("block").alias("sent"), F.explode(F.split("text", r"\r?\n")).alias("row"))
     c = F.split("row", r"[\t ]+")
     at = lambda i: F.get(c, F.lit(i))
     return rows.filter(F.trim("row") != "").select("file", "sent", at(0).cast("int").alias("idx"), at(1).alias("form"), at(2).alias("lemma"), at(3).alias("label"), at(4).alias("fine"), at(5).alias("feats"), F.try_to_number(at(6), F.lit("999999")).cast("int").alias("head"), at(7).alias("deprel"))
@@ -48,7 +50,7 @@ def read_conll(spark: SparkSession, path: str) -> DataFrame:
 
 def read_simpletagger(spark: SparkSession, path: str) -> DataFrame:
     """(file, sent, idx, form, label, features): features then label on a line, blank line between sentences."""
-    rows = blocks(whole(spark, path)).select("file", F.col("block").alias("sent"), F.posexplode(F.split("text", r"\r?\n")).alias("i", "row"))
+    rows = split.blocks(split.lines(spark, path)).select("file", F.col("block").alias("sent"), F.posexplode(F.split("text", r"\r?\n")).alias("i", "row"))
     parts = F.split(F.trim("row"), r"\s+")
     rows = rows.select("file", "sent", (F.col("i") + 1).alias("idx"), parts.alias("p"))
     feats = F.slice("p", F.lit(1), F.size("p") - 1)
@@ -58,17 +60,17 @@ def read_simpletagger(spark: SparkSession, path: str) -> DataFrame:
 
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
     """(file, tree_no, tree): bracketed trees, however many lines they take: a tree ends where its brackets balance."""
-    rows = lines(whole(spark, path))
     delta = F.length(F.regexp_replace("text", r"[^(]", "")) - F.length(F.regexp_replace("text", r"[^)]", ""))
-    rows = rows.withColumn("d", delta).withColumn("open", F.expr("sum(d) OVER (PARTITION BY file ORDER BY line)"))
-    rows = rows.withColumn("tree_no", F.expr("coalesce(sum(CASE WHEN open = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
-    trees = rows.filter(F.trim("text") != "").groupBy("file", "tree_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: F.trim(x["text"])), " ").alias("tree"))
+    rows = split.running(split.lines(spark, path), delta, "open")
+    closed = (F.col("open") == 0).cast("int")
+    trees = split.running(rows, closed, "tree_no").withColumn("tree_no", F.col("tree_no") - closed)
+    trees = trees.filter(F.trim("text") != "").groupBy("file", "tree_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: F.trim(x["text"])), " ").alias("tree"))
     return trees.withColumn("tree", F.regexp_replace("tree", r"^\(\s*(\(.*\))\s*\)$", "$1"))
 
 
 def read_parallel(spark: SparkSession, src: str, tgt: str, aln: str | None = None) -> DataFrame:
     """(line, src, tgt[, aln]) of parallel files joined on their line number."""
-    read = lambda p, name: lines(whole(spark, p)).select("line", F.col("text").alias(name))
+    read = lambda p, name: split.lines(spark, p).select(F.col("line").cast("int").alias("line"), F.col("text").alias(name))
     out = read(src, "src").join(read(tgt, "tgt"), "line")
     out = out.join(read(aln, "aln"), "line") if aln else out
     return out.filter((F.trim("src") != "") | (F.trim("tgt") != ""))
@@ -90,8 +92,8 @@ def read_a3(spark: SparkSession, path: str) -> DataFrame:
     """(pair, src, tgt) of aligner output in any number of part files; source 0 is NULL."""
     from glosspark.operators.align import from_a3
 
-    rows = lines(whole(spark, path))
-    rows = rows.withColumn("pair", F.expr(r"max(CASE WHEN text LIKE '#%' THEN cast(regexp_extract(text, 'pair \\((\\d+)\\)', 1) AS int) END) OVER (PARTITION BY file ORDER BY line)"))
+    number = F.when(F.col("text").startswith("#"), F.try_to_number(F.regexp_extract("text", r"pair \((\d+)\)", 1), F.lit("999999999")).cast("int"))
+    rows = split.running(split.lines(spark, path), number, "pair", "max")
     return rows.filter(F.contains("text", F.lit("({"))).select("pair", F.explode(from_a3(F.col("text"))).alias("p")).select("pair", "p.src", "p.tgt")
 
 
@@ -114,7 +116,7 @@ def read_prototypes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Plain instances: blocks of 3 lines (L, G, T) or 4 (native script first); others come back with a null tag. (igt_id, ord, tag, text)."""
-    rows = blocks(whole(spark, path))
+    rows = split.blocks(split.lines(spark, path))
     p = F.split("text", r"\r?\n")
     tags = F.when(F.size(p) == 3, F.array(*map(F.lit, ("L", "G", "T")))).when(F.size(p) == 4, F.array(*map(F.lit, ("L+FR", "L", "G", "T"))))
     rows = rows.select(F.concat_ws(":", "file", "block").alias("igt_id"), F.posexplode(p).alias("i", "text"), tags.alias("tags"))
@@ -137,7 +139,7 @@ def parse_records(texts: DataFrame) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str, lang: str | None = None, limit: int | None = None, encoding: str = "ISO-8859-1", glob: str | None = None) -> DataFrame:
     """Records of every file below ``path``, of one language if given, at most ``limit`` of them in id order."""
-    rows = parse_records(whole(spark, path, encoding, glob))
+    rows = parse_records(split.blocks(split.lines(spark, path, encoding, glob)).select(F.col("text").alias("value")))
     rows = rows.filter(F.col("lang") == lang) if lang else rows
     if limit is not None:
         rows = rows.join(rows.select("igt_id").distinct().orderBy("igt_id").limit(limit), "igt_id", "left_semi")

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 SF = "/root/testdata/sf0.001"
-from glosspark.plans import more_queries  # noqa: E402, F401  registers its own
+from glosspark.plans import more_queries, tree_queries  # noqa: E402, F401  register their own
 from glosspark.plans.catalogue import ORACLES, QUERIES  # noqa: E402
 
 

@@ -1,5 +1,7 @@
 """Cleaners, judgments, tokenizers, the line layer and words."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from glosspark.functions import text as T
@@ -75,6 +77,18 @@ def test_line_layer(spark):
 
 
 def test_merge_lines(spark):
-    l1, l2 = "This        an example          merged lines", "      is         sdfa     of                "
-    got = spark.createDataFrame([([l1, l2],)], "x array<string>").select(lines.merge_lines(F.col("x")).alias("y")).first().y
-    assert got == "This  is    an example    of    merged lines"
+    """Words dealt out over lines, each in its own columns, come together again; a word that would cover another is left out."""
+    rng = random.Random(7)
+    rows = []
+    for _ in range(50):
+        want, own = "", [""] * 3
+        for _ in range(rng.randint(1, 9)):
+            word, k = "".join(rng.choices("abcé", k=rng.randint(1, 6))), rng.randrange(3)
+            want += " " * rng.randint(1, 3)
+            own[k] = own[k].ljust(len(want)) + word
+            want += word
+        rows.append((own, want))
+    df = spark.createDataFrame([(i, lines_) for i, (lines_, _) in enumerate(rows)], "i int, x array<string>")
+    got = {r.i: r.y for r in df.select("i", lines.merge_lines(F.col("x")).alias("y")).collect()}
+    assert all(got[i].rstrip() == want for i, (_, want) in enumerate(rows))
+    assert spark.createDataFrame([(["aa  bb", " xx cc"],)], "x array<string>").select(lines.merge_lines(F.col("x")).alias("y")).first().y == "aa  bb"
