@@ -148,7 +148,7 @@ def _forest(docs: DataFrame, carry: dict[str, Column]) -> tuple[DataFrame, DataF
     own = docs.select(*(F.col(f"`{c}`") for c in FIELDS))
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))  # null first
     leaves = own.select(key.alias("key"), "doc_id", leaf().alias("digest"), *(c.alias(name) for name, c in carry.items()))
-    placed = numbered(leaves, "key", ["doc_id", "digest"])
+    placed = numbered(cut(leaves), "key", ["doc_id", "digest"])  # sampling the ranges would read and hash all texts once more
     blocks = cut(in_blocks(placed.select("key", "idx", "m", F.struct("doc_id", "digest", *carry).alias("item"))))
     subroots, up = climb(blocks)
     sizes = blocks.select(F.col("key").alias("of"), F.col("m").alias("n_leaves")).distinct()
