@@ -1,10 +1,10 @@
 r"""Source divergence audit over mergeable radix tries.
 
 Terms are ``[^\x00-\x40\x5B-\x60\x7B-\x7F]+`` with A-Z lower-cased: runs of ASCII letters and of all that is not ASCII, so a text is
-read as UTF-8 bytes. Every partition counts the terms of its texts in one byte trie a language, whose leaves hold the documents and the
-occurrences by source. A trie that has ``CELLS`` counters leaves the task as its traversal and a new one is begun, so memory is bounded; what
-leaves is dealt out by ranges of (lang, term), that is of prefixes, and sorted, so that the traversals of one range
-run together and are merged leaf by leaf. A common word is one row for each trie, not for each occurrence.
+read as UTF-8 bytes. Every partition counts the terms of its texts and brings them into one byte trie a language, whose leaves hold the
+documents and the occurrences by source. At ``CELLS`` counters the tries leave the task as their traversals and new ones are begun, so memory is
+bounded. What leaves is dealt out by language and the first ``PREFIX`` = 3 bytes, and sorted, so that the traversals of one range of prefixes run
+together and are merged leaf by leaf. A common word is one row for each trie, not for each occurrence.
 
 Terms in at least ``MIN_DOCS`` = 30 documents of a language are kept. With V kept terms of a language and N occurrences of them in a source,
 a term with n of these has p = 1 + floor(10**9 * (n + 5) / (N + 5 * V)), in exact decimal arithmetic. A last traversal
@@ -19,11 +19,14 @@ gives an empty table; very long texts are read in pieces that end between terms;
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter, defaultdict
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +36,8 @@ from glosspark.session import cut
 
 TERM, BREAK = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")
 MIN_DOCS, TOP = 30, 50
-CELLS = 1 << 20
+CELLS = 1 << 19
+PREFIX = 3
 PIECE = 1 << 22
 ROWS = 1 << 13
 SMALL = 5000  # sources over all languages, of some ten bytes each, that are broadcast
@@ -53,31 +57,21 @@ def pieces(raw: bytes, at: int, stop: int):
         at = end
 
 
-def _rows(leaves) -> pa.RecordBatch:
-    lang, term, docs, counts = zip(*leaves)
-    held = [dict(sorted(c.items())) for c in counts]
-    columns = [pa.array(lang, pa.string()), pa.array(term, pa.binary()), pa.array(docs, pa.int64()), pa.array([list(c) for c in held], pa.list_(pa.string())), pa.array([list(c.values()) for c in held], pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "term", "docs", "sources", "ns"])
-
-
 def _batched(leaves):
     """Record batches of (lang, term, docs, counts)."""
-    held = []
-    for x in leaves:
-        held.append(x)
-        if len(held) == ROWS:
-            yield _rows(held)
-            held = []
-    if held:
-        yield _rows(held)
+    names = ["lang", "term", "docs", "sources", "ns"]
+    for held in iter(lambda: list(islice(leaves, ROWS)), []):
+        lang, term, docs, counts = zip(*held)
+        ends = pa.array(np.concatenate([[0], np.cumsum(list(map(len, counts)))]), pa.int32())
+        sources = pa.array([x for c in counts for x in c], pa.string())
+        ns = pa.array([n for c in counts for n in c.values()], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(term, pa.binary()), pa.array(docs, pa.int64()), pa.ListArray.from_arrays(ends, sources), pa.ListArray.from_arrays(ends, ns)], names)
 
 
 class Counting:
-    """A task's tries, and the plain counters that go into them from time to time."""
+    """A task's counters until they fill its tries."""
 
     def __init__(self) -> None:
-        self.tries: dict[str, Trie] = defaultdict(Trie)
-        self.cells = 0
         self.words: dict[tuple[str, str], Counter] = defaultdict(Counter)
         self.docs: dict[str, Counter] = defaultdict(Counter)
 
@@ -89,25 +83,32 @@ class Counting:
         self.docs[lang].update(seen)
 
     def full(self) -> bool:
-        return sum(map(len, self.words.values())) >= CELLS // 8
-
-    def settle(self) -> None:
-        """Bring the plain counters into the tries."""
-        for (lang, source), words in self.words.items():
-            for term, n in words.items():
-                self.cells += self.tries[lang].add(term, 0, {source: n})
-        for lang, docs in self.docs.items():
-            for term, n in docs.items():
-                self.tries[lang].add(term, n, {})
+        return sum(map(len, self.words.values())) >= CELLS
+
+    def leave(self):
+        """All that was counted, in the order of the tries; the counters are empty afterwards."""
+        gc.disable()  # nodes hold no cycles, and looking for some takes most of the time
+        try:
+            yield from _batched((lang, *x) for lang, trie in self.tries() for x in trie.leaves())
+        finally:
+            gc.enable()
         self.words.clear()
         self.docs.clear()
 
-    def leave(self):
-        """All leaves in order; the tries are empty afterwards."""
-        self.settle()
-        yield from _batched((lang, *x) for lang in sorted(self.tries, key=str.encode) for x in self.tries[lang].leaves())
-        self.tries.clear()
-        self.cells = 0
+    def tries(self):
+        for lang, docs in sorted(self.docs.items(), key=lambda x: x[0].encode()):
+            by_term: dict[bytes, dict[str, int]] = {}
+            for (own, source), words in self.words.items():
+                if own == lang:
+                    for term, n in words.items():
+                        if term in by_term:
+                            by_term[term][source] = n
+                        else:
+                            by_term[term] = {source: n}
+            trie = Trie()
+            for term, counts in by_term.items():
+                trie.add(term, docs[term], counts)
+            yield lang, trie
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -124,8 +125,6 @@ def counted(docs: DataFrame) -> DataFrame:
                     held.text(*key, raw, at, stop)
                 first += len(offsets) - 1
                 if held.full():
-                    held.settle()
-                if held.cells >= CELLS:
                     yield from held.leave()
         yield from held.leave()
 
@@ -135,24 +134,41 @@ def counted(docs: DataFrame) -> DataFrame:
 def merged(leaves: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """One leaf for each (lang, term) in at least ``min_docs`` documents, in order within ranges."""
 
-    def whole(batches):
-        now = None
+    def whole(table: pa.RecordBatch, starts: np.ndarray):
+        """Leaves of the groups of rows that begin at ``starts``, if they are in enough documents."""
+        docs = np.add.reduceat(table.column("docs").to_numpy(), starts)
+        size = np.diff(np.append(starts, table.num_rows))
+        keep = np.flatnonzero(docs >= min_docs)
+        rows = np.repeat(starts[keep] - np.cumsum(size[keep]) + size[keep], size[keep]) + np.arange(size[keep].sum())
+        lists = zip(*(table.column(c).take(pa.array(rows)).to_pylist() for c in ("sources", "ns")))
+        heads = table.take(pa.array(starts[keep]))
+        for lang, term, n, k in zip(heads.column("lang").to_pylist(), heads.column("term").to_pylist(), docs[keep].tolist(), size[keep].tolist()):
+            counts: dict[str, int] = {}
+            for sources, ns in islice(lists, k):
+                for source, m in zip(sources, ns):
+                    counts[source] = counts.get(source, 0) + m
+            yield lang, term, n, counts
+
+    def groups(batches):
+        rest = None
         for batch in batches:
-            for lang, term, docs, sources, ns in zip(*(batch.column(c).to_pylist() for c in ("lang", "term", "docs", "sources", "ns"))):
-                if now is None or now[:2] != [lang, term]:
-                    if now is not None:
-                        yield now
-                    now = [lang, term, 0, {}]
-                now[2] += docs
-                for source, n in zip(sources, ns):
-                    now[3][source] = now[3].get(source, 0) + n
-        if now is not None:
-            yield now
+            table = batch if rest is None else pa.concat_batches([rest, batch])
+            if not table.num_rows:
+                continue
+            differ = [pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy(zero_copy_only=False) for x in (table.column("lang"), table.column("term"))]
+            starts = np.concatenate([[0], np.flatnonzero(differ[0] | differ[1]) + 1])
+            last = int(starts[-1])  # its group may go on in the next batch
+            rest = table.slice(last)
+            if last:
+                yield from whole(table.slice(0, last), starts[:-1])
+        if rest is not None:
+            yield from whole(rest, np.zeros(1, np.int64))
 
     def run(batches):
-        yield from _batched(x for x in whole(batches) if x[2] >= min_docs)
+        yield from _batched(groups(batches))
 
-    return leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, LEAVES)
+    prefix = F.substring("term", 1, PREFIX)
+    return leaves.repartition("lang", prefix).sortWithinPartitions("lang", "term").mapInArrow(run, LEAVES)
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
@@ -229,7 +245,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
     spark = docs.sparkSession
     set_batches(spark)
     own = docs.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in ("lang", "source")), F.col("`text`").alias("text"))
-    leaves = cut(counted(own))
+    leaves = counted(own)
     with long_batches(spark, ROWS):
         kept = cut(merged(leaves, min_docs))
         langs = cut(sources_of(own, kept))

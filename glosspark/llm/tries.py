@@ -38,7 +38,8 @@ class Trie:
         """Add a term's counters; returns how many (term, source) counters are new."""
         leaf = self.leaf(term)
         if leaf.counts is None:
-            leaf.counts = {}
+            leaf.docs, leaf.counts = docs, dict(counts)
+            return len(counts)
         before = len(leaf.counts)
         leaf.docs += docs
         for source, n in counts.items():
