@@ -42,7 +42,8 @@ PIECE = 1 << 22
 ROWS = 1 << 13
 SMALL = 5000  # sources over all languages, of some ten bytes each, that are broadcast
 SALTS = 64
-LEAVES = "lang string, term binary, docs bigint, sources array<string>, ns array<bigint>"
+LEAVES = "lang string, term binary, docs bigint, counts binary"  # counts: packed, as most leaves are too rare to be read again
+KEPT = "lang string, term binary, docs bigint, sources array<string>, ns array<bigint>"
 SCALE, PRIOR = 10**9, 5
 
 
@@ -57,15 +58,34 @@ def pieces(raw: bytes, at: int, stop: int):
         at = end
 
 
-def _batched(leaves):
-    """Record batches of (lang, term, docs, counts)."""
-    names = ["lang", "term", "docs", "sources", "ns"]
+def packed(counts: dict[str, int]) -> bytes:
+    """Each count, the length of its source, and the source."""
+    return "".join([f"{n}:{len(s)}:{s}" for s, n in counts.items()]).encode()
+
+
+def unpacked(data: bytes):
+    text, at = data.decode(), 0
+    while at < len(text):
+        n, size, rest = text[at:].split(":", 2)
+        at = len(text) - len(rest) + int(size)
+        yield rest[: int(size)], int(n)
+
+
+def _batched(leaves, last: str, column):
+    """Record batches of (lang, term, docs, counts); ``column`` makes what follows the first three of a batch's counts."""
     for held in iter(lambda: list(islice(leaves, ROWS)), []):
         lang, term, docs, counts = zip(*held)
-        ends = pa.array(np.concatenate([[0], np.cumsum(list(map(len, counts)))]), pa.int32())
-        sources = pa.array([x for c in counts for x in c], pa.string())
-        ns = pa.array([n for c in counts for n in c.values()], pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(term, pa.binary()), pa.array(docs, pa.int64()), pa.ListArray.from_arrays(ends, sources), pa.ListArray.from_arrays(ends, ns)], names)
+        more = column(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(term, pa.binary()), pa.array(docs, pa.int64()), *more], ["lang", "term", "docs", *last.split()])
+
+
+def _leaves(leaves):
+    return _batched(leaves, "counts", lambda counts: [pa.array(list(map(packed, counts)), pa.binary())])
+
+
+def _lists(counts) -> list[pa.Array]:
+    ends = pa.array(np.concatenate([[0], np.cumsum(list(map(len, counts)))]), pa.int32())
+    return [pa.ListArray.from_arrays(ends, pa.array(values, kind)) for values, kind in (([x for c in counts for x in c], pa.string()), ([n for c in counts for n in c.values()], pa.int64()))]
 
 
 class Counting:
@@ -89,7 +109,7 @@ class Counting:
         """All that was counted, in the order of the tries; the counters are empty afterwards."""
         gc.disable()  # nodes hold no cycles, and looking for some takes most of the time
         try:
-            yield from _batched((lang, *x) for lang, trie in self.tries() for x in trie.leaves())
+            yield from _leaves((lang, *x) for lang, trie in self.tries() for x in trie.leaves())
         finally:
             gc.enable()
         self.words.clear()
@@ -140,12 +160,12 @@ def merged(leaves: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         size = np.diff(np.append(starts, table.num_rows))
         keep = np.flatnonzero(docs >= min_docs)
         rows = np.repeat(starts[keep] - np.cumsum(size[keep]) + size[keep], size[keep]) + np.arange(size[keep].sum())
-        lists = zip(*(table.column(c).take(pa.array(rows)).to_pylist() for c in ("sources", "ns")))
+        own = iter(table.column("counts").take(pa.array(rows)).to_pylist())
         heads = table.take(pa.array(starts[keep]))
         for lang, term, n, k in zip(heads.column("lang").to_pylist(), heads.column("term").to_pylist(), docs[keep].tolist(), size[keep].tolist()):
             counts: dict[str, int] = {}
-            for sources, ns in islice(lists, k):
-                for source, m in zip(sources, ns):
+            for data in islice(own, k):
+                for source, m in unpacked(data):
                     counts[source] = counts.get(source, 0) + m
             yield lang, term, n, counts
 
@@ -165,10 +185,10 @@ def merged(leaves: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
             yield from whole(rest, np.zeros(1, np.int64))
 
     def run(batches):
-        yield from _batched(groups(batches))
+        yield from _batched(groups(batches), "sources ns", _lists)
 
     prefix = F.substring("term", 1, PREFIX)
-    return leaves.repartition("lang", prefix).sortWithinPartitions("lang", "term").mapInArrow(run, LEAVES)
+    return leaves.repartition("lang", prefix).sortWithinPartitions("lang", "term").mapInArrow(run, KEPT)
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
@@ -255,9 +275,10 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
     pairs = langs.select("lang", "groups", F.posexplode("groups").alias("i", "g")).select("lang", "groups", (F.col("i") + 1).alias("a"), F.posexplode("groups").alias("j", "h"))
     pairs = pairs.select("lang", "a", (F.col("j") + 1).alias("b"), name("a").alias("source"), F.col("h.source").alias("item")).filter("a <> b")
     pairs = pairs.join(sums, ["lang", "a", "b"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value"))
-    terms = found.filter("b IS NULL").join(langs.select("lang", "groups"), "lang").select("lang", name("a").alias("source"), F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), "value")
     place = F.expr("row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)")
-    return pairs.withColumn("rank", place).unionByName(terms.withColumn("rank", place).filter(F.col("rank") <= top))
+    best = found.filter("b IS NULL").withColumn("rank", F.expr("row_number() OVER (PARTITION BY lang, a ORDER BY value DESC, term)")).filter(F.col("rank") <= top)
+    terms = best.join(langs.select("lang", "groups"), "lang").select("lang", name("a").alias("source"), F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), "value", "rank")
+    return pairs.withColumn("rank", place).unionByName(terms)
 
 
 ORACLE = r"""
