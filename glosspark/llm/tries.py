@@ -11,44 +11,48 @@ class Trie:
 
     __slots__ = ("edges", "docs", "counts")
 
-    def __init__(self) -> None:
-        self.edges: dict[int, tuple[bytes, Trie]] = {}
-        self.docs = 0
-        self.counts: dict[str, int] | None = None
+    def __init__(self, docs: int = 0, counts: dict[str, int] | None = None) -> None:
+        self.edges: dict[int, tuple[bytes, Trie]] | None = None
+        self.docs = docs
+        self.counts = counts
 
     def leaf(self, term: bytes) -> Trie:
         """The node at which ``term`` ends; an edge that it leaves half-way is split."""
-        node, at = self, 0
-        while at < len(term):
-            label, child = node.edges.get(term[at], (b"", None))
-            if child is None:
+        node, at, end = self, 0, len(term)
+        while at < end:
+            edges, first = node.edges, term[at]
+            if edges is None:
+                edges = node.edges = {}
+            found = edges.get(first)
+            if found is None:
                 child = Trie()
-                node.edges[term[at]] = (term[at:], child)
+                edges[first] = (term[at:], child)
                 return child
-            if not term.startswith(label, at):
-                shared = len(commonprefix([label, term[at : at + len(label)]]))
+            label, child = found
+            if len(label) > 1 and not term.startswith(label, at):
+                shared = len(commonprefix((label, term[at : at + len(label)])))
                 middle = Trie()
-                middle.edges[label[shared]] = (label[shared:], child)
-                node.edges[term[at]] = (label[:shared], middle)
+                middle.edges = {label[shared]: (label[shared:], child)}
+                edges[first] = (label[:shared], middle)
                 label, child = label[:shared], middle
             node, at = child, at + len(label)
         return node
 
-    def add(self, term: bytes, docs: int, counts: dict[str, int]) -> int:
-        """Add a term's counters; returns how many (term, source) counters are new."""
+    def add(self, term: bytes, docs: int, counts: dict[str, int]) -> None:
+        """Add a term's counters."""
         leaf = self.leaf(term)
-        if leaf.counts is None:
-            leaf.docs, leaf.counts = docs, dict(counts)
-            return len(counts)
-        before = len(leaf.counts)
         leaf.docs += docs
-        for source, n in counts.items():
-            leaf.counts[source] = leaf.counts.get(source, 0) + n
-        return len(leaf.counts) - before
+        if leaf.counts is None:
+            leaf.counts = counts
+        else:
+            own = leaf.counts = dict(leaf.counts)
+            for source, n in counts.items():
+                own[source] = own.get(source, 0) + n
 
-    def merge(self, other: Trie) -> int:
-        """Add all that ``other`` counts; returns how many counters are new."""
-        return sum(self.add(*x) for x in other.leaves())
+    def merge(self, other: Trie) -> None:
+        """Add all that ``other`` counts."""
+        for x in other.leaves():
+            self.add(*x)
 
     def leaves(self) -> Iterator[tuple[bytes, int, dict[str, int]]]:
         """(term, documents, occurrences by source) in the order of the bytes, which for UTF-8 is that of the code points."""
@@ -57,4 +61,7 @@ class Trie:
             prefix, node = open_.pop()
             if node.counts is not None:
                 yield prefix, node.docs, node.counts
-            open_ += [(prefix + label, child) for _, (label, child) in sorted(node.edges.items(), reverse=True)]
+            if node.edges:
+                for first in sorted(node.edges, reverse=True):
+                    label, child = node.edges[first]
+                    open_.append((prefix + label, child))
