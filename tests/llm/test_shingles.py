@@ -37,3 +37,63 @@ def test_first_of_near_duplicates(spark):
     kept = corpus_pipeline.first_of_near_duplicates(spark, df.union(df.limit(2)), "").collect()
     assert sorted(r.doc_id for r in kept) == sorted({find(i) for i in range(len(texts))})
     assert corpus_pipeline.first_of_near_duplicates(spark, df.filter("false"), "").count() == 0
+
+
+def removed(spark, texts, **block):
+    """Rows that the stage removes, and those of a comparison of all pairs."""
+    from glosspark.llm import shingles as module
+
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in module.keep_first(df).collect()}
+    want = {find(i) for i in range(len(texts))}
+    assert want <= kept  # no link below the threshold
+    return len(texts) - len(kept), len(texts) - len(want)
+
+
+def group(seed, n, words, changes):
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    for _ in range(n):
+        c = list(base)
+        for _ in range(changes):
+            c[rng.randrange(words)] = f"n{rng.randrange(10**6)}"
+        yield " ".join(c)
+
+
+def test_large_groups(spark, monkeypatch):
+    """Groups of near copies most of which are just too unlike to be linked."""
+    from glosspark.llm import shingles as module
+
+    got, want = removed(spark, list(group(1, 700, 100, 2)))
+    assert got >= 0.98 * want and want > 100
+    monkeypatch.setattr(module, "BLOCK_BYTES", 100_000)  # several blocks
+    got, want = removed(spark, [*group(2, 400, 150, 3), *group(3, 200, 150, 1), *("x y z " * k for k in range(3))])
+    assert got >= 0.98 * want and want > 200
+
+
+def test_forest():
+    import numpy as np
+
+    from glosspark.llm import shingles as module
+
+    sets_of = [np.arange(100), np.arange(5, 100), np.arange(1000, 1100), np.arange(2, 100), np.arange(40)]
+    sign = np.zeros((5, 120), np.uint8)
+    sign[2] = 1
+    every = np.arange(5)
+    assert len(module.linked(sign, sets_of, every, every)) == 2  # 0, 1 and 3; 4 is too small
+    assert module.linked(sign, sets_of, np.array([0, 1]), np.array([2, 4])) == []
+    assert module.linked(sign, sets_of, np.array([0]), np.array([3])) == [(0, 3)]
