@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosspark.llm.arrow import set_batches, text_udf
+from glosspark.llm.rows import fresh
 
 BLOCK = 1024
 ALIGN = 64
@@ -505,19 +506,22 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
     """``df`` with payload_bytes, payload_sha256, tail_crc32 and feature, read back from the stored streams."""
     set_batches(df.sparkSession)
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "feature"]
-    out = df.withColumn("_m", text_udf(read_slice, READ, 2 << 20)(F.col(media)))
-    return out.select(*(F.col(c) for c in df.columns if c not in names), "_m.*")
+    own = fresh(df, "_m")
+    out = df.withColumn(own, text_udf(read_slice, READ, 2 << 20)(F.col(media)))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns if c not in names), f"{own}.*")
 
 
 def pcm_blocks(df: DataFrame, media: str = "media") -> DataFrame:
     """One row per 8-bit block: the other columns, block, first_sample, samples, crc_ok and pcm; seek by filtering on first_sample."""
     set_batches(df.sparkSession)
     names = ["block", "first_sample", "samples", "crc_ok", "pcm"]
-    out = df.withColumn("_b", F.explode(text_udf(block_slice, PCM, 2 << 20)(F.col(media))))
-    return out.select(*(F.col(c) for c in df.columns if c not in (media, *names)), "_b.*")
+    own = fresh(df, "_b")
+    out = df.withColumn(own, F.explode(text_udf(block_slice, PCM, 2 << 20)(F.col(media))))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns if c not in (media, *names)), f"{own}.*")
 
 
 def media_report(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without texts: n_bytes, what ``read_media`` gives, media_bytes and media_sha256."""
-    out = read_media(with_media(docs.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")), text))
-    return out.withColumn("media_bytes", F.octet_length("media").cast("bigint")).withColumn("media_sha256", F.sha2("media", 256)).drop("media", text)
+    own = fresh(docs, "_stored")
+    out = read_media(with_media(docs.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")), text, own), own)
+    return out.withColumn("media_bytes", F.octet_length(own).cast("bigint")).withColumn("media_sha256", F.sha2(own, 256)).drop(own, text)

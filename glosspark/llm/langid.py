@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from glosspark.llm.arrow import set_batches, text_udf
 from glosspark.llm.hashing import LETTERS, sum_by_row
 from glosspark.llm.samples import fold, one_text
+from glosspark.llm.rows import fresh
 from glosspark.llm.wordgrams import count_features, distinct_words, word_grams
 
 BITS = 16
@@ -149,5 +150,6 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text")
     set_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS floats a machine, whatever the number of rows
     work = text_udf(lambda o, d: predict_slice(shared.value, o, d), "lang_pred string, score double", 2 << 20)
-    out = docs.withColumn("_l", work(F.col(text)))
-    return out.select(*(F.col(c) for c in docs.columns if c not in ("lang_pred", "score")), "_l.*")
+    own = fresh(docs, "_l")
+    out = docs.withColumn(own, work(F.col(text)))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")), f"{own}.*")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosspark.llm.arrow import set_batches, text_udf
+from glosspark.llm.rows import fresh
 
 MARK = "▁"
 
@@ -162,7 +163,7 @@ def encode_slice(path: str, offsets: np.ndarray, data: np.ndarray) -> dict:
     """All ids (begin and end too), each piece's source span end, and the decoded text, for every row."""
     model = load(path)
     raw = data.tobytes()
-    texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
     begin, end = model.library.bos_id(), model.library.eos_id()
     inner = model.library.encode(texts, num_threads=1)
     ids = [[begin, *x, end] for x in inner]
@@ -179,8 +180,9 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
     """``docs`` with ``ids``, ``ends`` (source byte offset where each inner piece ends) and ``decoded``."""
     set_batches(docs.sparkSession)
     work = text_udf(lambda o, d: encode_slice(path, o, d), FULL, 1 << 20)
-    out = docs.withColumn("_e", work(F.col(text)))
-    return out.select(*(F.col(c) for c in docs.columns if c not in ("ids", "ends", "decoded")), "_e.*")
+    own = fresh(docs, "_e")
+    out = docs.withColumn(own, work(F.col(text)))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "ends", "decoded")), f"{own}.*")
 
 
 def digest_slice(path: str, offsets: np.ndarray, data: np.ndarray) -> dict:
@@ -199,5 +201,6 @@ def encode_digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     set_batches(docs.sparkSession)
     work = text_udf(lambda o, d: digest_slice(path, o, d), DIGEST, 1 << 20)
     names = ["n_tokens", "ids_sha256", "decoded_sha256", "n_spans", "aligned_bytes"]
-    out = docs.withColumn("_e", work(F.col(text)))
-    return out.select(*(F.col(c) for c in docs.columns if c not in names), *(F.col(f"_e.{c}") for c in names))
+    own = fresh(docs, "_e")
+    out = docs.withColumn(own, work(F.col(text)))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c not in names), *(F.col(f"{own}.{c}") for c in names))

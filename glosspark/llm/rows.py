@@ -17,6 +17,14 @@ def unpacked(docs: DataFrame, text: str | None = "text", without: tuple | list =
     return [F.col("text" if c == text else f"row.c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in without]
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def field(docs: DataFrame, name: str) -> Column:
     """A packed column of ``docs``."""
     return F.col(f"row.c{docs.columns.index(name)}")
