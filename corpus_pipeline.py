@@ -28,7 +28,7 @@ PASSAGE = 200
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt on this input's own labelled rows, does not reject."""
     model = quality.train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    named = docs.select("*", F.struct("*").alias("_row")).select("_row", "text")
+    named = docs.select(F.struct("*").alias("_row"), "text")
     return quality.score_quality(named, model).filter("predicted = 1").select("_row.*")
 
 
