@@ -36,7 +36,7 @@ from glosspark.session import cut
 
 TERM, BREAK = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")
 MIN_DOCS, TOP = 30, 50
-CELLS = 1 << 19
+CELLS = 1 << 20  # some 300 MB of a worker
 PREFIX = 3
 PIECE = 1 << 22
 ROWS = 1 << 13
@@ -127,7 +127,8 @@ class Counting:
                             by_term[term] = {source: n}
             trie = Trie()
             for term, counts in by_term.items():
-                trie.add(term, docs[term], counts)
+                leaf = trie.leaf(term)
+                leaf.docs, leaf.counts = docs[term], counts
             yield lang, trie
 
 
