@@ -85,7 +85,9 @@ def final(now: DataFrame, a: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def grow_diag_final(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    return final(final(grow_diag(a, b, keys), a, keys), b, keys)
+    a, b = cut(pairs(a, keys)), cut(pairs(b, keys))  # each step reads its inputs several times
+    now = cut(grow_diag(a, b, keys))
+    return final(cut(final(now, a, keys)), b, keys)
 
 
 SYMMETRIZERS = {"intersection": intersection, "union": union, "grow_diag": grow_diag, "grow_diag_final": grow_diag_final}

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosspark.operators import align, fertility, tiers
+from glosspark.operators import align, chart, fertility, spanning, tagger, tiers
 from glosspark.plans import catalogue as C
-from glosspark.plans import enrich
+from glosspark.plans import enrich, subsets
 
 query, table = C.query, C.table
 TURN = ["conv_id", "turn"]
@@ -87,16 +87,16 @@ def loose_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiers.loose_edges(order_edges(spark, sf_dir)[0], ["k"]).select("k", "dep", "head")
 
 
-_NEAR = f"{C._BITEXT}, {C._A1}, x AS (SELECT s.conv_id, s.turn, s.idx, a.src AS at FROM s LEFT JOIN (SELECT DISTINCT conv_id, turn, src FROM a1) a ON a.conv_id = s.conv_id AND a.turn = s.turn AND a.src = s.idx), y AS (SELECT *, max(at) OVER (PARTITION BY conv_id, turn ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l, min(at) OVER (PARTITION BY conv_id, turn ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r FROM x)"
+_NEAR = f"{C._BITEXT}, {C._A1}, x AS (SELECT s.conv_id, s.turn, s.idx, a.src AS near FROM s LEFT JOIN (SELECT DISTINCT conv_id, turn, src FROM a1) a ON a.conv_id = s.conv_id AND a.turn = s.turn AND a.src = s.idx), y AS (SELECT *, max(near) OVER (PARTITION BY conv_id, turn ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l, min(near) OVER (PARTITION BY conv_id, turn ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r FROM x)"
 
 
-@query(f'WITH {_NEAR} SELECT conv_id, turn, idx, l AS "left", r AS "right" FROM y WHERE at IS NULL')
+@query(f'WITH {_NEAR} SELECT conv_id, turn, idx, l AS "left", r AS "right" FROM y WHERE near IS NULL')
 def nearest_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, t = C.bitext(spark, sf_dir)
     return tiers.nearest_aligned(s, align.matched(s, t, C.PAIR).select(*C.PAIR, F.col("src").alias("idx")), C.PAIR)
 
 
-@query(f"WITH {_NEAR}, e AS (SELECT conv_id, turn, idx AS d, idx // 2 AS h FROM x WHERE at IS NOT NULL), z AS (SELECT y.conv_id, y.turn, idx, arg_min(d, (abs(idx - h) + abs(idx - d), h, d)) AS head FROM y JOIN e ON e.conv_id = y.conv_id AND e.turn = y.turn AND ((h < idx AND idx < d) OR (d < idx AND idx < h)) WHERE at IS NULL AND l IS NOT NULL AND r IS NOT NULL GROUP BY ALL) SELECT conv_id, turn, idx AS dep, coalesce(l, r) AS head FROM y WHERE at IS NULL AND (l IS NULL OR r IS NULL) AND coalesce(l, r) IS NOT NULL UNION ALL SELECT * FROM z")
+@query(f"WITH {_NEAR}, e AS (SELECT conv_id, turn, idx AS d, idx // 2 AS h FROM x WHERE near IS NOT NULL), z AS (SELECT y.conv_id, y.turn, idx, arg_min(d, (abs(idx - h) + abs(idx - d), h, d)) AS head FROM y JOIN e ON e.conv_id = y.conv_id AND e.turn = y.turn AND ((h < idx AND idx < d) OR (d < idx AND idx < h)) WHERE near IS NULL AND l IS NOT NULL AND r IS NOT NULL GROUP BY ALL) SELECT conv_id, turn, idx AS dep, coalesce(l, r) AS head FROM y WHERE near IS NULL AND (l IS NULL OR r IS NULL) AND coalesce(l, r) IS NOT NULL UNION ALL SELECT * FROM z")
 def attached_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where words that have no partner hang in a tree whose aligned word n hangs under word n div 2."""
     s, t = C.bitext(spark, sf_dir)
@@ -171,3 +171,65 @@ def fertility_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = C._em_bitext(spark, sf_dir)
     return fertility.viterbi(b, fertility.train(b)[0]).filter("src > 0")
 
+
+
+# --- taggers and parsers -----------------------------------------------------------------------------------------------
+
+
+def part_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(igt_id, idx, tok, label): a part's name and type, as an adjective, a noun and a type; some types are adjectives elsewhere."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("igt_id"), F.concat(F.split("p_name", " "), F.array(F.lower("p_type"))).alias("ws"))
+    return part.select("igt_id", F.posexplode("ws").alias("i", "tok")).select("igt_id", (F.col("i") + 1).alias("idx"), "tok", F.get(F.array(*map(F.lit, "ANT")), F.col("i")).alias("label"))
+
+
+@query("SELECT p_partkey AS igt_id, unnest([1, 2, 3])::INT AS idx, unnest(['A', 'N', 'T']) AS label FROM part")
+def crf_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts tagged by a random field that was taught on every other one."""
+    tokens = part_tokens(spark, sf_dir)
+    model = tagger.train(tokens.filter("igt_id % 2 = 0"), ["igt_id"], 8)
+    return tagger.tag(tokens.drop("label"), ["igt_id"], model).select("igt_id", F.col("idx").cast("int").alias("idx"), "label")
+
+
+@query("SELECT p_partkey AS igt_id, '(S (A ' || string_split(p_name, ' ')[1] || ') (N ' || string_split(p_name, ' ')[2] || ') (T ' || lower(p_type) || '))' AS tree FROM part")
+def chart_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts parsed by the grammar of every other one's trees."""
+    words = part_tokens(spark, sf_dir).groupBy("igt_id").agg(F.sort_array(F.collect_list(F.struct("idx", "tok", "label"))).alias("ws"))
+    trees = words.select("igt_id", F.concat(F.lit("(S "), F.array_join(F.transform("ws", lambda w: F.concat(F.lit("("), w["label"], F.lit(" "), w["tok"], F.lit(")"))), " "), F.lit(")")).alias("tree"))
+    rules, lexicon = chart.grammar(tiers.parsed(trees.filter("igt_id % 2 = 0"), ["igt_id"]), ["igt_id"])
+    return chart.parse(words.select("igt_id", F.transform("ws", lambda w: w["tok"]).alias("words")), rules, lexicon).select("igt_id", "tree")
+
+
+_ARCS = "e AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS dep FROM lineitem), a AS (SELECT e.k, e.dep, h.dep AS head FROM e JOIN e h ON h.k = e.k AND h.dep < e.dep UNION ALL SELECT k, dep, 0 FROM e)"
+
+
+@query(f"WITH {_ARCS} SELECT k, dep, arg_max(head, ((dep * 7 + head * 13) % 11, -head)) AS head, max((dep * 7 + head * 13) % 11)::DOUBLE AS score FROM a GROUP BY k, dep")
+def spanning_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best trees over an order's lines, each with arcs from all lines before it and the root."""
+    lines = C._edges(spark, sf_dir).select("k", "dep").distinct()
+    before = lines.join(lines.select("k", F.col("dep").alias("head")), "k").filter("head < dep").unionByName(lines.withColumn("head", F.lit(0)))
+    arcs = before.select("k", F.col("dep").cast("int").alias("dep"), F.col("head").cast("int").alias("head")).withColumn("score", ((F.col("dep") * 7 + F.col("head") * 13) % 11).cast("double"))
+    return spanning.best_trees(arcs, ["k"])
+
+
+# --- subsets -----------------------------------------------------------------------------------------------------------
+
+
+def _uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts' lines, some without a translation, with an empty gloss, or with a longer language line."""
+    raw, _ = glossed(spark, sf_dir)
+    raw = raw.filter("NOT (igt_id % 5 = 0 AND tag = 'T')")
+    text = F.when((F.col("igt_id") % 7 == 0) & (F.col("tag") == "G"), "  ").when((F.col("igt_id") % 3 == 0) & (F.col("tag") == "L"), F.concat("text", F.lit(" more"))).otherwise(F.col("text"))
+    return raw.select("igt_id", "ord", "tag", text.alias("text"))
+
+
+@query("SELECT p_partkey AS igt_id, unnest([1, 2, 3])::INT AS ord, unnest(['L', 'G', 'T']) AS tag FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 3 <> 0 AND p_size > 10")
+def filter_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances with all lines, as many gloss as language words, and a tag."""
+    tags = table(spark, sf_dir, "part").filter("p_size > 10").select(F.col("p_partkey").alias("igt_id"))
+    return subsets.filtered(_uneven(spark, sf_dir), gloss_tags=tags, even=True).select("igt_id", "ord", "tag")
+
+
+@query("WITH n AS (SELECT p_partkey AS igt_id, CASE WHEN p_partkey % 3 = 0 THEN 4 ELSE 3 END AS n FROM part), r AS (SELECT igt_id, sum(n) OVER (ORDER BY igt_id) AS upto, sum(n) OVER () AS total FROM n) SELECT igt_id, CASE WHEN upto < round_even(0.5 * total, 0) THEN 'train' WHEN upto < round_even(0.75 * total, 0) THEN 'dev' ELSE 'test' END AS part FROM r")
+def split_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances dealt out by words of their language lines."""
+    return subsets.split(_uneven(spark, sf_dir), 0.5, 0.25).select("igt_id", "part").distinct()
