@@ -18,7 +18,7 @@ from glosspark.llm import mixing, pieces, quality, shingles, suffix
 from glosspark.llm.queries import tokenizer_path
 from glosspark.session import shared_folder
 
-#: No SQL states a learnt classifier, XXH64 shingles or the tokenizer; tests/llm/test_pipeline.py holds the stages against brute force.
+#: No SQL states a learnt classifier, XXH64 shingles or the tokenizer; tests/llm holds stages against brute force.
 ORACLE_SQL = None
 
 #: Bytes of a repeated passage: under the length of 50 words, which is some 300.
